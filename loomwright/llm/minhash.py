@@ -24,9 +24,6 @@ from .grams import NOT_SPACE, Words, mix, shingle_sets
 _U = np.uint64
 #: 32 bands of 4 slots: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^32, below 5e-8.
 BANDS, ROWS = 32, 4
-#: Two slots' lowest bits agree with probability (1 + J) / 2. At J = 0.8 that is 0.9 of 128 bits, with a
-#: deviation of 3.4 bits; fewer than 92 agreements (23.2 bits, 6.8 deviations) leave no chance worth counting.
-LEAST_BITS = 92
 
 
 def superminhash(elements: np.ndarray, ends: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
@@ -70,7 +67,6 @@ def _sketch(k: int, bands: int, rows: int):
             sets, ends = shingle_sets(Words(data, offsets, NOT_SPACE), k)
             signature = superminhash(sets, ends, m)
             keys = mix((mix(signature) * weights).reshape(-1, bands, rows).sum(axis=2, dtype=_U) + band).view(np.int64)
-            bits = np.packbits((mix(signature) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
             size = np.diff(ends)
             digests = [hashlib.md5(sets[a:b].tobytes()).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -78,47 +74,70 @@ def _sketch(k: int, bands: int, rows: int):
                     batch.column("id"),
                     pa.array(digests, pa.binary()),
                     pa.array(size, pa.int64()),
-                    pa.ListArray.from_arrays(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32), bits.ravel()),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel()),
                 ],
-                ["id", "digest", "n", "bits", "bands"],
+                ["id", "digest", "n", "bands"],
             )
 
     return run
 
 
-def _confirm(k: int, percent: int):
+def _compare(k: int, percent: int):
+    """For pairs of a centre a and a member b: whether they are linked, and how b differs from a.
+
+    `index` and `probe` serve residual_pairs(): all shingles in which b differs from a, the added
+    ones first, as `probe` if b is not linked, and as many of the first of them as needed as `index`.
+    """
+    ratio = (100 + percent) / (100 - percent) if percent < 100 else np.inf
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
             one, two = (shingle_sets(Words(*text_buffers(batch.column(c)), NOT_SPACE), k) for c in ("text_a", "text_b"))
-            linked = np.zeros(batch.num_rows, bool)
+            linked, index, probe = [], [], []
             for i in range(batch.num_rows):
                 x, y = one[0][one[1][i] : one[1][i + 1]], two[0][two[1][i] : two[1][i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+                both = np.intersect1d(x, y, assume_unique=True)
+                linked.append(len(both) > 0 and 100 * len(both) >= percent * (len(x) + len(y) - len(both)))
+                added, removed = (np.setdiff1d(z, both, assume_unique=True) for z in (y, x))
+                differs = np.concatenate((added, removed)).view(np.int64)
+                shared = (len(differs) - max(0, len(added) - len(removed)) / ratio) / 2
+                index.append(differs[: len(differs) - int(shared)])
+                probe.append(differs[:0] if linked[-1] else differs)
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (index, probe)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *lists], ["a", "b", "linked", "index", "probe"])
 
     return run
 
 
-def _alike(percent: int) -> F.Column:
-    """A necessary condition of the link: set sizes within the threshold, and enough agreeing signature bits."""
-    agree = sum((64 - F.bit_count(F.element_at("bits_a", i).bitwiseXOR(F.element_at("bits_b", i)))) for i in (1, 2))
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return (small * 100 >= large * percent) & (agree >= LEAST_BITS)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts travel only for ids in a pair."""
+def _compared(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) compared by their full shingle sets; texts travel only for ids in a pair."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.join(wanted, "id", "left_semi").select("id", "text"), "pair-texts")
+    texts = stored(docs.join(wanted, "id", "left_semi").select("id", "text").distinct(), "pair-texts")
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct(), "links")
+    found = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, index array<long>, probe array<long>"), "compared")
     discard(texts)
     return found
 
 
+def residual_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of members of one centre that may be linked though one of them is not linked with the centre.
+
+    Let D(x) be the shingles in which x differs from centre c, and t = (100 + percent) / (100 - percent).
+    x and y are linked only if t * |D(x) ^ D(y)| <= |x| + |y|; x is not linked with c, so
+    t * |D(x)| > |x| + |c|. Together, |D(x) & D(y)| > (|D(y)| - (|y| - |c|) / t) / 2: they share over
+    half of D(y) or nearly so. In one order of all shingles, then, the first ones of D(y) that leave
+    no more than that many behind (`index`) hold one of D(x) (`probe`). Shingles that c lacks come
+    first, and those are rare: the pairs that meet share an edit. Members of one group are left out.
+    """
+    group = groups.select(F.col("node").alias("b"), "component")
+    named = compared.join(group, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    odd = named.where("not linked").select("a", F.col("b").alias("x"), F.col("component").alias("group_x"), F.explode("probe").alias("shingle"))
+    every = named.select("a", F.col("b").alias("y"), F.col("component").alias("group_y"), F.explode("index").alias("shingle"))
+    met = odd.join(every, ["a", "shingle"]).where("x <> y and group_x <> group_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id and kept.
 
@@ -133,39 +152,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cannot be named: component_id is null and kept true. Other columns
     are ignored, whatever their names. An empty table gives an empty one.
 
-    Candidates are pairs that share a band. In each band's bucket, first
-    every member is verified against the bucket's smallest id, so groups
-    of copies cost one check a member. Pairs whose ends then still lie in
-    different components are all verified in a second pass; none is left out.
+    Candidates are pairs that share a band. Each band's bucket has a
+    centre, the member that shares most buckets with others, and every
+    member is compared with it, so a group of copies costs one comparison
+    a member and not one a pair. Members that are not linked with their
+    centre are then compared with those that share their edits
+    (residual_pairs), which loses no link inside a bucket.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(docs.mapInArrow(_sketch(k, BANDS, ROWS), "id long, digest binary, n long, bits array<long>, bands array<long>"), "signatures")
+    every = stored(docs.mapInArrow(_sketch(k, BANDS, ROWS), "id long, digest binary, n long, bands array<long>"), "signatures")
     signed = every.where("id is not null and n > 0")
     # equal sets: one representative, and an edge to it from each other id
-    reps = stored(signed.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "sets")
+    reps = stored(signed.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "sets")
     copies = signed.select("digest", "id").join(reps.where("copies > 1").select("digest", "node"), "digest").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
     buckets = reps.select(F.explode("bands").alias("key"), "node")
-    shared = stored(buckets.join(buckets.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"), "key"), "buckets")
-    traits = reps.select("node", "n", "bits")
-
-    def with_traits(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(traits.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        return pairs
-
-    stars = shared.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(with_traits(stars).where(_alike(percent)).select("a", "b").distinct(), "stars")
-    links = _verified(docs, stars, k, percent)
+    shared = stored(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "buckets")
+    weighed = shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("node").alias("last"))).alias("most")).select("key", F.bitwise_not("most.last").alias("centre"))
+    stars = shared.join(centres, "key").where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    first = _compared(docs, stored(stars, "stars"), k, percent)
+    links = first.where("linked").select("a", "b")
     groups = stored(connected_components(links, "a", "b"), "groups")
-    # members of a bucket that lie in different groups after the first pass
-    named = shared.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = stored(named.join(mixed, "key").join(traits, "node"), "open")
-    side = lambda s: open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "bits")))
-    rest = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _alike(percent))
-    rest = stored(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verified(docs, rest, k, percent)
-    edges = links.union(more).union(copies)
+    second = _compared(docs, stored(residual_pairs(first, groups), "residual"), k, percent)
+    edges = links.union(second.where("linked").select("a", "b")).union(copies)
     groups = connected_components(edges, "a", "b")
     out = every.select("id", "n").join(groups, every["id"] == groups["node"], "left")
     component = F.coalesce("component", "id")
