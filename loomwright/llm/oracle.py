@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licences
+
 
 def _escaped(x: str) -> str:
     """The length of an escaped text; what is put in doesn't matter for it."""
@@ -12,6 +14,19 @@ def _lower(x: str) -> str:
     return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _canonical_lines(x: str) -> str:
+    x = rf"regexp_replace(lower(coalesce({x}, '')), '{licences.COPYRIGHT_LINE}', '', 'g')"
+    x = rf"regexp_replace({x}, '{licences.BETWEEN}', ' ', 'g')"
+    for old, new in licences.SPELLINGS.items():
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+def _known() -> str:
+    entries = [entry.split("\n", 1) for entry in licences.KNOWN.strip().split("\n\n")]
+    return ", ".join("('{}', '{}')".format(*(part.replace("'", "''") for part in entry)) for entry in entries)
+
+
 #: From links (a, b): the smallest node that each linked node reaches.
 _COMPONENTS = """
     both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -64,4 +79,14 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
     """,
+    "op8_licence_scan": rf"""
+        WITH known AS (SELECT min(licence) AS licence, sha256(c) AS digest FROM (
+            SELECT licence, trim(regexp_replace({_canonical_lines("said")}, '[ \n]+', ' ', 'g')) AS c FROM (VALUES {_known()}) AS k(licence, said)) GROUP BY c),
+        d AS (SELECT doc_id, {_canonical_lines("text")} AS c FROM documents),
+        lines AS (SELECT doc_id, licence FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS line FROM d) JOIN known ON sha256(trim(line)) = digest),
+        notices AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM lines GROUP BY doc_id),
+        whole AS (SELECT doc_id, sha256(trim(regexp_replace(c, '[ \n]+', ' ', 'g'))) AS digest FROM d)
+        SELECT doc_id, digest, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
+        FROM whole LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
+    """,
 }
