@@ -141,6 +141,11 @@ def _extend(window: int):
     return run
 
 
+def row_key(row_id: F.Column, text: F.Column) -> F.Column:
+    """What tells rows of contamination() apart: the key of a row's id and text."""
+    return F.xxhash64(row_id.cast("string"), text.cast("string"))
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
     """One row per document row: id, n_words, n_hit, items (sorted ids as strings) and contaminated.
 
@@ -158,7 +163,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     spark = df.sparkSession
     # rows are told apart by id and text, so that repeated ids keep their own results
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64(F.col("id").cast("string"), F.col("text")))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", row_key(F.col("id"), F.col("text")))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     prints = stored(items.mapInArrow(_item_prints(window), "print long, item string, length int"), "item-prints")
     lengths = sorted(r[0] for r in prints.select("length").distinct().collect())  # at most `window` values

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licences, minhash, secrets, suffixes, toxicity
+from . import bpe, chat, decontam, licences, minhash, neighbours, secrets, suffixes, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -71,6 +71,10 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(lines, "doc_id", "left").select("doc_id", "digest", "licence", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN, ["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -86,5 +90,6 @@ QUERIES = {
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_licence_scan": op8_licence_scan,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
