@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licences, minhash, neighbours, secrets, suffixes, toxicity
+from . import bpe, chat, decontam, licences, minhash, neighbours, pages, secrets, suffixes, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -63,6 +63,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digests = licences.known_digests(licences.known_licences(spark))
@@ -89,6 +93,7 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_page_text": op7_page_text,
     "op8_licence_scan": op8_licence_scan,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
