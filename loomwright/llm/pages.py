@@ -42,7 +42,6 @@ SCOPE = {"table", "td", "th", "ul", "ol", "dl", "article", "section", "main", "a
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def generalise(name: str) -> str:
@@ -54,8 +53,8 @@ def marked(names: str) -> bool:
     return any(part in MARKS for part in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()))
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], dict[int, str], list[int]]:
-    """Blocks (text, container number, characters in links), and of each container its path and parent.
+def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
+    """Blocks (text, container number, characters in links), and each container's path and parent.
 
     Unclosed elements close where HTML implies it or with their parent;
     an inline element that was never closed ends with its block. Text in
@@ -66,22 +65,16 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], dict[int, s
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
     buffer: list[str] = []
     linked = in_link = 0
-    pre: tuple[str, int] = ("", 0)
 
     def flush() -> None:
-        nonlocal linked, pre
+        nonlocal linked
         if buffer:
-            text = SPACES.sub(" ", html.unescape("".join(buffer)).replace(" ", " ")).strip()
+            text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
                 blocks.append((text, stack[-1][1], linked))
         linked = 0
 
-    def close(at: int) -> None:
-        nonlocal in_link
-        flush()
-        del stack[at:]
-
     raw = ""
     for m in TOKEN.finditer(page):
         token = m[0]
@@ -111,10 +104,9 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], dict[int, s
                 at = len(stack) - 1
                 while at > 0 and stack[at][0] != name:
                     at = 0 if name in ("p", "li", "td", "th", "tr", "dd", "dt") and stack[at][0] in SCOPE - {name} else at - 1
+                flush()
                 if at > 0:
-                    close(at)
-                else:
-                    flush()
+                    del stack[at:]
             continue
         if name in RAW:
             raw = "" if token.endswith("/>") and name not in ("script", "style", "title", "textarea") else name
