@@ -109,15 +109,17 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) compared by their full shingle sets; texts travel only for ids in a pair."""
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of all ids in the pairs, stored. The join is a shuffled one at every size, so that figures of small runs tell of large ones."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(docs.join(wanted, "id", "left_semi").select("id", "text").distinct(), "pair-texts")
+    return stored(docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").distinct(), "pair-texts")
+
+
+def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) compared by their full shingle sets."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, index array<long>, probe array<long>"), "compared")
-    discard(texts)
-    return found
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, index array<long>, probe array<long>"), "compared")
 
 
 def residual_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -170,10 +172,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     weighed = shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
     centres = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("node").alias("last"))).alias("most")).select("key", F.bitwise_not("most.last").alias("centre"))
     stars = shared.join(centres, "key").where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = _compared(docs, stored(stars, "stars"), k, percent)
+    stars = stored(stars, "stars")
+    texts = _texts(docs, stars)
+    first = _compared(texts, stars, k, percent)
     links = first.where("linked").select("a", "b")
     groups = stored(connected_components(links, "a", "b"), "groups")
-    second = _compared(docs, stored(residual_pairs(first, groups), "residual"), k, percent)
+    second = _compared(texts, stored(residual_pairs(first, groups), "residual"), k, percent)
+    discard(texts)
     edges = links.union(second.where("linked").select("a", "b")).union(copies)
     groups = connected_components(edges, "a", "b")
     out = every.select("id", "n").join(groups, every["id"] == groups["node"], "left")
