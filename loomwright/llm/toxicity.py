@@ -207,11 +207,34 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sorted_[heads], np.add.reduceat(values[order], heads)
 
 
-def _frequent(texts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sorted values that occur in LEAST_TEXTS texts or more."""
-    pairs = np.unique(np.stack([values, texts.astype(_U)]), axis=1)[0] if len(values) else values
-    value, n = np.unique(pairs, return_counts=True)
-    return value[n >= LEAST_TEXTS]
+def _frequent(texts: np.ndarray, values: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """Sorted values that occur in LEAST_TEXTS texts or more; texts are in order, and counted a part at a time."""
+    known, counts, at = np.zeros(0, _U), np.zeros(0, np.int64), 0
+    while at < len(values):
+        stop = int(np.searchsorted(texts, texts[min(at + most, len(texts)) - 1], "right"))
+        order = np.lexsort((texts[at:stop], values[at:stop]))
+        value, text = values[at:stop][order], texts[at:stop][order]
+        new = np.concatenate(([True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])))
+        both = np.concatenate((known, value[new]))
+        known, place = np.unique(both, return_inverse=True)
+        counts = np.bincount(place, np.concatenate((counts, np.ones(int(new.sum()), np.int64))), len(known)).astype(np.int64)
+        at = stop
+    return known[counts >= LEAST_TEXTS]
+
+
+def _frequent_grams(texts: np.ndarray, of: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Sorted character grams of LEAST_TEXTS texts or more; the texts' distinct words are looked at some texts at a time."""
+    size = max(len(counts), 1)
+    text, word = np.divmod(np.unique(texts.astype(np.int64) * size + of), size)
+    wide, ids = np.unique(grams, return_inverse=True)
+    seen, at = np.zeros(len(wide), np.int64), 0
+    while at < len(word):
+        stop = int(np.searchsorted(text, text[min(at + 50_000, len(text)) - 1], "right"))
+        part = word[at:stop]
+        pair = np.unique(np.repeat(text[at:stop], counts[part]) * len(wide) + ids[_flat(starts[part], counts[part])])
+        seen += np.bincount(pair % len(wide), minlength=len(wide))
+        at = stop
+    return wide[seen >= LEAST_TEXTS]
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> Network:
@@ -219,9 +242,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = EPOCH
     words = Words(*text_buffers(pa.array(texts, pa.large_string())), LETTERS_DIGITS)
     _, distinct, of = np.unique(words.hash, return_index=True, return_inverse=True)
     grams, counts = char_grams(words, distinct) if len(distinct) else (np.zeros(0, _U), np.zeros(0, np.int64))
-    pairs = np.unique(np.stack([words.text, of]), axis=1) if len(of) else np.zeros((2, 0), np.int64)
     starts = np.cumsum(counts) - counts
-    known_grams = _frequent(np.repeat(pairs[0], counts[pairs[1]]), grams[_flat(starts[pairs[1]], counts[pairs[1]])])
+    known_grams = _frequent_grams(words.text, of, starts, counts, grams)
     net = Network(_frequent(words.text, words.hash), known_grams, seed)
     row, gram = _lookup(net.words, words.hash[distinct]), _lookup(net.grams, grams)
     text, places = window_words(words)
