@@ -323,9 +323,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     partly = stored(by_sort.unionByName(by_count).where(F.size("ranges") > 0), "ranges")
     whole = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))))
     known = met.join(partly, ["anchor", "block"], "left").select("anchor", "block", F.coalesce(whole, "ranges").alias("ranges")).where("ranges is not null")
+    # both sides come from a table and are shuffled alike, so that a hot block's rows can be split
+    known = stored(known, "known-blocks")
     verdicts = runs.join(known, ["anchor", "block"]).groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "ranges")).alias("runs"))
     verdicts = stored(verdicts, "verdicts")
-    for used in (data, partly, met, runs):
+    for used in (data, partly, met, known, runs):
         discard(used)
     out = docs.join(verdicts, ["d1", "d2"], "left").select("id", "text", "runs")
     kind = dict(docs.dtypes)["id"]

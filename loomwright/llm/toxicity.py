@@ -32,6 +32,8 @@ SAMPLE, LENGTH = (1500, 2500), 2500
 #: Words and character grams are known from so many training texts on.
 LEAST_TEXTS = 3
 EPOCHS, BATCH, RATE = 4, 48, 0.01
+#: Steps of training at least, so that a small sample is gone over more often.
+STEPS = 150
 
 
 # ---- inputs
@@ -237,7 +239,7 @@ def _frequent_grams(texts: np.ndarray, of: np.ndarray, starts: np.ndarray, count
     return wide[seen >= LEAST_TEXTS]
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> Network:
+def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     """A network trained on whole texts and their labels (0 or 1)."""
     words = Words(*text_buffers(pa.array(texts, pa.large_string())), LETTERS_DIGITS)
     _, distinct, of = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -250,6 +252,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = EPOCH
     window_ends = np.searchsorted(text, np.arange(len(texts) + 1))
     adam, draw = Adam(net.p, RATE), np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) ** 0.5
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(len(texts), 1)))
     for epoch in range(epochs):
         adam.rate = RATE * (1 - epoch / epochs) + RATE / 20
         order = draw.permutation(len(texts))
