@@ -85,26 +85,26 @@ def _sketch(k: int, bands: int, rows: int):
 def _compare(k: int, percent: int):
     """For pairs of a centre a and a member b: whether they are linked, and how b differs from a.
 
-    `index` and `probe` serve residual_pairs(): all shingles in which b differs from a, the added
-    ones first, as `probe` if b is not linked, and as many of the first of them as needed as `index`.
+    `differs` holds all shingles that one of the two lacks; `least` and `most` say how many of them
+    residual_pairs() has to index and to look up.
     """
     ratio = (100 + percent) / (100 - percent) if percent < 100 else np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
             one, two = (shingle_sets(Words(*text_buffers(batch.column(c)), NOT_SPACE), k) for c in ("text_a", "text_b"))
-            linked, index, probe = [], [], []
+            linked, differs, least, most = [], [], [], []
             for i in range(batch.num_rows):
                 x, y = one[0][one[1][i] : one[1][i + 1]], two[0][two[1][i] : two[1][i + 1]]
                 both = np.intersect1d(x, y, assume_unique=True)
                 linked.append(len(both) > 0 and 100 * len(both) >= percent * (len(x) + len(y) - len(both)))
-                added, removed = (np.setdiff1d(z, both, assume_unique=True) for z in (y, x))
-                differs = np.concatenate((added, removed)).view(np.int64)
-                shared = (len(differs) - max(0, len(added) - len(removed)) / ratio) / 2
-                index.append(differs[: len(differs) - int(shared)])
-                probe.append(differs[:0] if linked[-1] else differs)
-            lists = [pa.array(v, pa.list_(pa.int64())) for v in (index, probe)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *lists], ["a", "b", "linked", "index", "probe"])
+                differs.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+                shared = (len(differs[-1]) - max(0, len(y) - len(x)) / ratio) / 2
+                least.append(len(differs[-1]) - int(shared))
+                needed = (len(differs[-1]) - (len(x) + len(y)) / ratio) / 2
+                most.append(len(differs[-1]) + 1 - max(1, int(np.ceil(needed - 1e-9))))
+            found = [pa.array(linked, pa.bool_()), pa.array(differs, pa.list_(pa.int64())), pa.array(least, pa.int32()), pa.array(most, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *found], ["a", "b", "linked", "differs", "least", "most"])
 
     return run
 
@@ -115,11 +115,11 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").distinct(), "pair-texts")
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, columns: list[str]) -> DataFrame:
     """The pairs (a, b) compared by their full shingle sets."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, index array<long>, probe array<long>"), "compared")
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, differs array<long>, least int, most int").select(columns), "compared")
 
 
 def residual_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -128,14 +128,25 @@ def residual_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
     Let D(x) be the shingles in which x differs from centre c, and t = (100 + percent) / (100 - percent).
     x and y are linked only if t * |D(x) ^ D(y)| <= |x| + |y|; x is not linked with c, so
     t * |D(x)| > |x| + |c|. Together, |D(x) & D(y)| > (|D(y)| - (|y| - |c|) / t) / 2: they share over
-    half of D(y) or nearly so. In one order of all shingles, then, the first ones of D(y) that leave
-    no more than that many behind (`index`) hold one of D(x) (`probe`). Shingles that c lacks come
-    first, and those are rare: the pairs that meet share an edit. Members of one group are left out.
+    half of D(y) or nearly so, and at least (|D(x)| - (|x| + |c|) / t) / 2. In one order of all shingles,
+    then, the first `least` of D(y) and the first `most` of D(x) have one in common. Shingles come by the
+    number of c's members that differ in them, so most of the first belong to one member alone and meet
+    nothing, and what all members differ in from c comes last. Members of one group are left out, and so are centres whose members are all in one.
     """
     group = groups.select(F.col("node").alias("b"), "component")
     named = compared.join(group, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    odd = named.where("not linked").select("a", F.col("b").alias("x"), F.col("component").alias("group_x"), F.explode("probe").alias("shingle"))
-    every = named.select("a", F.col("b").alias("y"), F.col("component").alias("group_y"), F.explode("index").alias("shingle"))
+    apart = named.groupBy("a").agg(F.bool_or(~F.col("linked")).alias("odd"), F.min("component").alias("low"), F.max("component").alias("high")).where("odd and low < high").select("a")
+    # rows that repeat an id with another text are told apart by their differences
+    member = ["a", "b", "form", "component", "linked", "least", "most", "size"]
+    sized = named.join(apart, "a", "left_semi").withColumn("form", F.xxhash64("differs")).withColumn("size", F.size("differs"))
+    cells = stored(sized.select(*member, F.explode("differs").alias("shingle")), "differences")
+    often = cells.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = cells.join(often, ["a", "shingle"]).groupBy(*member).agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("ranked"))
+    # those of one member alone come before all that are ranked
+    first = lambda n: F.slice("ranked.shingle", F.lit(1), F.greatest(F.lit(0), F.col(n) - F.col("size") + F.size("ranked")))
+    lists = stored(ranked.select("a", "b", "component", "linked", first("most").alias("probe"), first("least").alias("index")), "ranked")
+    odd = lists.where("not linked").select("a", F.col("b").alias("x"), F.col("component").alias("group_x"), F.explode("probe").alias("shingle"))
+    every = lists.select("a", F.col("b").alias("y"), F.col("component").alias("group_y"), F.explode("index").alias("shingle"))
     met = odd.join(every, ["a", "shingle"]).where("x <> y and group_x <> group_y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -174,10 +185,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = shared.join(centres, "key").where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(stars, "stars")
     texts = _texts(docs, stars)
-    first = _compared(texts, stars, k, percent)
+    first = _compared(texts, stars, k, percent, ["a", "b", "linked", "differs", "least", "most"])
     links = first.where("linked").select("a", "b")
     groups = stored(connected_components(links, "a", "b"), "groups")
-    second = _compared(texts, stored(residual_pairs(first, groups), "residual"), k, percent)
+    second = _compared(texts, stored(residual_pairs(first, groups), "residual"), k, percent, ["a", "b", "linked"])
     discard(texts)
     edges = links.union(second.where("linked").select("a", "b")).union(copies)
     groups = connected_components(edges, "a", "b")
