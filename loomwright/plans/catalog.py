@@ -175,6 +175,13 @@ def interval_relations(spark, sf):
     return series.relations(rows, ["user_id", "day"], "event_id", "start", "stop")
 
 
+@query("interval_relations_all", f"""WITH {_SQL_INTERVALS}
+    SELECT * FROM (SELECT a.event_id AS a, b.event_id AS b, CASE WHEN a.start = b.start AND a.stop = b.stop THEN 'EQUALS' WHEN a.stop = b.start THEN 'MEETS' WHEN a.start < b.start AND b.start < a.stop THEN 'OVERLAPS' WHEN a.stop < b.start THEN 'BEFORE' END AS relation
+    FROM iv a JOIN iv b ON a.user_id = b.user_id AND a.event_id < b.event_id) WHERE relation IS NOT NULL""")
+def interval_relations_all(spark, sf):
+    return series.relations(_intervals(spark, sf), ["user_id"], "event_id", "start", "stop")
+
+
 @query("transition_matrix", """WITH p AS (SELECT event_type AS after, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
     , c AS (SELECT before, after, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY ALL) SELECT before, after, n, round(n / sum(n) OVER (PARTITION BY before), 6) AS p FROM c""")
 def transition_matrix(spark, sf):

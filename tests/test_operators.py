@@ -66,3 +66,14 @@ def test_diff(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "k int, v string")
     assert {r.k: r.change for r in changes.diff(old, new, "k", "v").collect()} == {1: "removed", 2: "changed", 4: "added"}
+
+
+def test_relations_of_all_days(spark, tmp_path):
+    from datetime import datetime
+
+    from loomwright.plans import catalog, registry  # noqa: F401
+
+    stamps = [(1, datetime(2024, 1, 1, 23, 55), 7, 1.0), (2, datetime(2024, 1, 2, 0, 1), 7, 1.0), (3, datetime(2024, 1, 3, 12), 7, 1.0), (4, datetime(2024, 1, 2, 0, 1), 8, 1.0)]
+    spark.createDataFrame(stamps, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["interval_relations_all"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.relation for r in found} == {(1, 2): "OVERLAPS", (1, 3): "BEFORE", (2, 3): "BEFORE"}
