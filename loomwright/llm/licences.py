@@ -8,9 +8,15 @@ the known texts.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whole licence texts (<identifier>.txt) and standard headers (<identifier>.header.txt).
+TEXTS = Path(__file__).parent / "licence_texts"
+
 # Public licence texts and notices; the first line of each entry is its identifier.
 KNOWN = """
 MIT
@@ -91,9 +97,34 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(canonical_lines(text), "[ \n]+", " "))
 
 
+#: Titles that stand above a text that has none of its own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+}
+
+
+def variants(name: str, text: str) -> list[str]:
+    """A whole text as it is handed on: with or without title, item numbers, appendix and the appendix's line to fill in; http or https."""
+    found = [text]
+    if "END OF TERMS AND CONDITIONS" in text:
+        terms = text.split("END OF TERMS AND CONDITIONS")[0]
+        found += [terms, terms + "END OF TERMS AND CONDITIONS", re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", text)]
+    if name.startswith("BSD-"):
+        found += [re.sub(r"(?m)^[0-9]\. ", "", text)]
+        found += [x.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR") for x in found]
+    found += [f"{title}\n\n{x}" for title in TITLES.get(name, []) for x in found]
+    found += [re.sub("https?://", scheme, x) for scheme in ("http://", "https://") for x in found if "://" in x]
+    return list(dict.fromkeys(found))
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    """(licence, text) of the built-in table; a caller may pass a larger one."""
+    """(licence, text) of the built-in notices, whole texts and standard headers; a caller may pass a larger table."""
     entries = [entry.split("\n", 1) for entry in KNOWN.strip().split("\n\n")]
+    whole = [(name, text) for name, text in entries if "\n" in text]
+    whole += [(path.name.removesuffix(".txt").removesuffix(".header"), path.read_text()) for path in sorted(TEXTS.glob("*.txt"))]
+    entries += [(name, x) for name, text in whole for x in variants(name, text)]
     return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, text in entries))))
 
 

@@ -158,6 +158,19 @@ def test_licences(spark):
     assert licences.scan_lines(rows, shuffled, ["doc_id"]).count() == licences.scan_lines(rows, digests, ["doc_id"]).count()
 
 
+def test_whole_licences_and_headers(spark):
+    paths = sorted(licences.TEXTS.glob("*.txt"))
+    want = [p.name.removesuffix(".txt").removesuffix(".header") for p in paths]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "AGPL-3.0-or-later", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"} <= set(want)
+    texts = ["Copyright (c) 2020 A. Person\n\n" + p.read_text().replace("http://", "https://") for p in paths]
+    apache = (licences.TEXTS / "Apache-2.0.txt").read_text()
+    bsd = (licences.TEXTS / "BSD-3-Clause.txt").read_text()
+    texts += [apache.replace("[yyyy] [name of copyright owner]", "2020 A. Person"), apache[: apache.index("APPENDIX")], "BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + bsd, apache[:-200]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licences.scan(rows, licences.known_digests(licences.known_licences(spark)), ["doc_id"])
+    assert [r.licence for r in found.orderBy("doc_id").collect()] == [*want, "Apache-2.0", "Apache-2.0", "BSD-3-Clause", None]
+
+
 def test_near_vectors_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART", 40)
     rng = np.random.default_rng(0)
