@@ -157,8 +157,9 @@ def _linked(threshold: float, bits: int):
     def settle(rows: pa.Table) -> pa.RecordBatch:
         sizes, place = rows.column("d").to_numpy(), rows.column("place").to_numpy()
         out = [(np.zeros(0, np.int64),) * 3]
-        for d in np.unique(sizes):
-            part = rows.filter(pa.array(sizes == d)) if sizes[0] != sizes[-1] or d != sizes[0] else rows
+        lengths = np.unique(sizes)
+        for d in lengths:
+            part = rows.filter(pa.array(sizes == d)) if len(lengths) > 1 else rows
             node, copies, t, side, place, cross = (part.column(c).to_numpy() for c in ("node", "copies", "t", "side", "place", "cross"))
             x = unit(np.asarray(part.column("v").combine_chunks().flatten(), float).reshape(-1, d))
             cuts = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))

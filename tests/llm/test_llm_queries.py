@@ -189,6 +189,21 @@ def test_near_vectors_by_brute_force(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == want
 
 
+def test_near_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for first, d in ((0, 64), (1, 32)):  # ids of both lengths alternate
+        e = rng.normal(size=(20, d)).repeat(6, axis=0) + rng.normal(size=(120, d)) * 0.2
+        unit = neighbours.unit(e)
+        linked = unit @ unit.T >= 0.9
+        np.fill_diagonal(linked, False)
+        components = _components(range(120), zip(*np.nonzero(linked), strict=True))
+        rows += [(2 * i + first, [float(x) for x in v]) for i, v in enumerate(e)]
+        want |= {2 * i + first: (int(linked[i].sum()), 2 * components[i] + first) for i in range(120)}
+    found = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == want
+
+
 def _base(text):
     kinds = [("assign", r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
     spans = [(m.start(), n, m.end()) for n, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= least]
