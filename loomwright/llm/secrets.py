@@ -8,6 +8,7 @@ is reported, unless it is a digest of a usual length or an identifier.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,9 +34,15 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
     r"|[0-9+/_.=-]+"  # numbers, dates, rules
-    r"|[A-Za-z]+(?:[_.+/=-]+[A-Za-z]+)*\d{0,4}[_.+/=-]*"  # words joined by marks, with a short number
     r"|[A-Za-z_.-]*[A-Za-z]{4,}[A-Za-z0-9]*\.[a-z]{1,5}"  # file names
 )
+#: What stands before a digest that the text names.
+NAMED = re.compile(r"(?ai:(?<![a-z0-9])(?:md5|sha[-_]?(?:1|2|224|256|384|512)|digest|checksum|hash|commit|etag|fingerprint)(?:sum)?[^a-z0-9\n]{1,4}\Z)")
+#: Digests of nothing.
+WELL_KNOWN = {hashlib.new(n).hexdigest() for n in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
+#: Letters joined by marks, with a short number: an identifier if each part is a word.
+JOINED = re.compile(r"[A-Za-z]+(?:[_+/-]+[A-Za-z]+)+\d{0,4}[_+/-]*")
+PART = re.compile(r"[A-Za-z]+")
 #: Fewer characters than this for each token are taken for random; words have three and more, random base64 1.3 to 1.7.
 LEAST_RATIO = 1.9
 
@@ -47,8 +54,16 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def _candidate(run: str) -> bool:
-    return not (len(run) in DIGESTS and re.fullmatch("[0-9a-fA-F]+", run)) and not IDENTIFIER.fullmatch(run)
+def _candidate(text: str, a: int, b: int) -> bool:
+    run = text[a:b]
+    if b - a in DIGESTS and re.fullmatch("[0-9a-fA-F]+", run):
+        return run.lower() not in WELL_KNOWN and not NAMED.search(text[max(0, a - 24) : a])
+    return not IDENTIFIER.fullmatch(run)
+
+
+def parts_of(run: str) -> list[str]:
+    """The parts of a run that may be an identifier of several words, else none."""
+    return PART.findall(run) if JOINED.fullmatch(run) else []
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -60,21 +75,28 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 16]
         if b - a >= 32:
             spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= 32]
-        runs += [m.span() for m in STRING.finditer(text, a, b) if _candidate(m[0])]
+        runs += [m.span() for m in STRING.finditer(text, a, b) if _candidate(text, *m.span())]
     return sorted(spans), runs
 
 
 def _scan(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path, pattern)
+
+        def sparse(words: list[str]) -> list[str]:
+            return [w for w, ids in zip(words, encoding.encode_ordinary_batch(words, num_threads=1), strict=True) if len(w) < LEAST_RATIO * len(ids)]
+
         for batch in slices(batches, "__text"):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             found = [find(t) for t in texts]
             words = list({t[a:b] for t, (_, runs) in zip(texts, found, strict=True) for a, b in runs})
-            tokens = dict(zip(words, map(len, encoding.encode_ordinary_batch(words, num_threads=1)), strict=True))
+            random = set(sparse(words))
+            parts = {w: parts_of(w) for w in random}
+            broken = set(sparse(list({p for ps in parts.values() for p in ps})))
+            random -= {w for w, ps in parts.items() if ps and all(len(p) > 2 and p not in broken for p in ps)}
             rows = []
             for t, (spans, runs) in zip(texts, found, strict=True):
-                more = [(a, 3, b) for a, b in runs if b - a < LEAST_RATIO * tokens[t[a:b]]]
+                more = [(a, 3, b) for a, b in runs if t[a:b] in random]
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans + more)])
             kept = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(rows, SPANS)], [*kept, "spans"])

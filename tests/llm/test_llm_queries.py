@@ -221,6 +221,15 @@ def test_secrets(spark):
     assert found[0] == ["assign"] and "access" in found[1] and "hex" in found[2] and found[3] == ["random"] and found[4] == found[5] == []
 
 
+def test_secrets_of_letters_and_of_hex(spark):
+    digest = hashlib.sha1(b"x").hexdigest().upper()
+    secret = ["qZxLwRtVbNmKjHgPyDfS", "xkqzjvwpbtrmhgdnflcs", "qZxLwRtVbNmKjHgP12", "key " + digest, digest[:32]]
+    plain = ["SHA-1: " + digest, "checksum=" + hashlib.sha256(b"").hexdigest().upper(), hashlib.md5(b"").hexdigest().upper(), "AbstractSingletonProxyFactoryBean", "get_user_by_name_and_value", "internationalization"]
+    rows = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    found = secrets.find_secrets(rows, VOCABULARY, public_tokenizers.PATTERN, ["doc_id"]).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.spans] for r in found] == [["random"]] * len(secret) + [[]] * len(plain)
+
+
 def test_decontamination_without_items(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
