@@ -53,16 +53,20 @@ def marked(names: str) -> bool:
     return any(part in MARKS for part in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()))
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
+def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None], list[int]]:
     """Blocks (text, container number, characters in links), and each container's path and parent.
 
     Unclosed elements close where HTML implies it or with their parent;
     an inline element that was never closed ends with its block. Text in
-    dropped elements (menus, forms, scripts, marked classes ...) is left out.
+    dropped elements (menus, forms, scripts, elements that dropped_marks()
+    names ...) is left out; a container in one has the path None.
     """
-    blocks: list[tuple[str, int, int]] = []
-    paths, parents = [""], [-1]
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
+    found: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
+    paths: list[str | None] = [""]
+    parents, within = [-1], [()]  # within: the marked elements around a container
+    marks = 0
+    articles: list[tuple[int, ...]] = []  # the marked elements around each unmarked article or main
+    stack: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...]]] = [("", 0, False, (), ())]  # tag, container, dropped, marked elements, articles
     buffer: list[str] = []
     linked = in_link = 0
 
@@ -72,7 +76,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, stack[-1][1], linked))
+                found.append((text, stack[-1][1], linked, *stack[-1][3:]))
         linked = 0
 
     raw = ""
@@ -120,16 +124,42 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
             del stack[at:]
             at -= 1
         names = [(k.lower(), v.strip("\"'")) for k, v in NAMES.findall(token)] if len(token) > len(name) + 2 else []
-        drop = stack[-1][2] or name in OUTSIDE or (name not in SAFE and any(marked(v) for _, v in names))
-        own = stack[-1][1]
+        drop = stack[-1][2] or name in OUTSIDE
+        own, around, texts = stack[-1][1], stack[-1][3], stack[-1][4]
+        mark = not drop and any(marked(v) for _, v in names)
+        if mark and name not in SAFE:
+            around, marks = (*around, marks), marks + 1
+        if name in ("article", "main") and not drop and not mark:
+            texts = (*texts, len(articles))
+            articles.append(around)
         if name in CONTAINERS and not drop:
             kind = ".".join(sorted({generalise(c) for k, v in names if k == "class" for c in v.split()}))
             paths.append(f"{paths[own]}/{name}" + (f".{kind}" if kind else ""))
             parents.append(own)
+            within.append(around)
             own = len(paths) - 1
-        stack.append((name, own, drop))
+        stack.append((name, own, drop, around, texts))
     flush()
-    return blocks, paths, parents
+    gone = dropped_marks(found, marks, articles) if marks else set()
+    blocks = [(text, own, linked) for text, own, linked, around, _ in found if gone.isdisjoint(around)]
+    return blocks, [p if gone.isdisjoint(w) else None for p, w in zip(paths, within, strict=True)], parents
+
+
+def dropped_marks(found: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]], marks: int, articles: list[tuple[int, ...]]) -> set[int]:
+    """The marked elements to drop: all but those around the page's largest article or main, and, if no article has a fifth of the page's text outside links, those with two thirds of it."""
+    total, held, said = 0, [0] * marks, [0] * len(articles)
+    for text, _, linked, around, texts in found:
+        worth = max(0, len(text) - linked)
+        total += worth
+        for m in around:
+            held[m] += worth
+        for a in texts:
+            said[a] += worth
+    most = max(range(len(said)), key=lambda a: (said[a], -a), default=None)
+    kept = set(articles[most]) if most is not None and said[most] else set()
+    if most is None or 5 * said[most] < total:
+        kept |= {m for m in range(marks) if total and 3 * held[m] >= 2 * total}
+    return set(range(marks)) - kept
 
 
 def best_path(page: str) -> tuple[str, float] | None:
@@ -144,21 +174,22 @@ def best_path(page: str) -> tuple[str, float] | None:
             score[own] += worth
             own, worth = parents[own], worth * 0.8
     # a named article or main element is worth more than a nameless one of the same text
-    named = [s * (1.5 if re.search(r"/(article|main)[^/]*$", p) else 1.0) for s, p in zip(score, paths, strict=True)]
+    named = [-1.0 if p is None else s * (1.5 if re.search(r"/(article|main)[^/]*$", p) else 1.0) for s, p in zip(score, paths, strict=True)]
     at = max(range(len(paths)), key=lambda i: (named[i], -i))
     return paths[at], named[at]
 
 
 def extract(page: str, path: str | None) -> str:
-    """Text of the blocks in or below containers of the path; of the page's best container if it has none of the path."""
+    """Text of the blocks in or below containers of the path, and of those of their parents' own blocks that aren't mostly links; of the page's best container if it has none of the path."""
     blocks, paths, parents = parse(page)
     inside = [p == path for p in paths]
     if path is None or not any(inside):
         own = best_path(page)
         inside = [own is not None and p == own[0] for p in paths]
+    above = {parents[i] for i, x in enumerate(inside) if x}  # headings and leads stand there
     for i, parent in enumerate(parents):
         inside[i] = inside[i] or (parent >= 0 and inside[parent])
-    return "\n".join(text for text, own, _ in blocks if inside[own])
+    return "\n".join(text for text, own, linked in blocks if inside[own] or (own in above and 2 * linked < len(text)))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

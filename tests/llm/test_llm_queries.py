@@ -137,6 +137,22 @@ def test_pages(spark):
     assert found == {1: want, 2: want, 3: "", 4: ""}
 
 
+def test_pages_with_layout_classes_and_leads():
+    words = "A sentence of the main text that goes on for a while. " * 8
+    body = f"<h1>Title</h1><p>{words}</p>"
+    side = "<div class=sidebar><p>Some other words</p></div><ul class=menu><li><a href=x>Home</a></ul>"
+    want = "Title\n" + words.strip()
+    shapes = [
+        f'<body><div class="content no-sidebar"><article>{body}</article>{side}</div></body>',
+        f'<body><div class="page header-fixed"><div>{body}</div>{side}</div></body>',
+        f'<body class=x><div class="page header-fixed">{side}<div class="comments"><p>{words[:120]}</p></div><div class=in>{body}</div></div></body>',
+    ]
+    assert [pages.extract(s, None) for s in shapes] == [want] * 3
+    post = f"<body><div class=post><h1>Title</h1><p>The lead.</p><ul><li><a href=x>Share this</a></ul><div class=entry><p>{words}</p></div></div></body>"
+    assert pages.extract(post, None) == "Title\nThe lead.\n" + words.strip()
+    assert pages.extract(post, pages.best_path(post)[0]) == pages.extract(post, None)
+
+
 def test_pages_of_the_table(spark):
     import html
 
