@@ -2,8 +2,8 @@
 
 Toxic documents go, one document of each near-duplicate group stays,
 documents contaminated by the benchmark go, secrets in texts are replaced
-by a mark, and what is left is encoded. Near-duplicate groups are made of
-ids, so a row with a null doc_id is in none and passes that stage.
+by a mark, and what is left is encoded. A row with a null doc_id is in no
+near-duplicate group and passes that stage.
 """
 
 from __future__ import annotations
@@ -30,9 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, by five-word shingles at a similarity of 0.8; one row of each id."""
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    """The row with the smallest id, then key, of each near-duplicate group, by five-word shingles at a similarity of 0.8; one of rows with equal id and text."""
+    # rows are told apart by id and text, so that a text isn't dropped for another that shares its id
+    named = docs.where("doc_id is not null").withColumn("key", decontam.row_key(F.col("doc_id"), F.col("text")))
+    groups = minhash.near_duplicates(named, "key", k=5, percent=80).select("key", "component_id").distinct()
+    members = named.select("key", "doc_id").join(groups, "key")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.key")
+    return named.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,11 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, three), (3, one + " more"), (4, ""), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [(1, one), (1, two), (3, three), (4, ""), (None, one)]))
