@@ -79,5 +79,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 50) ->
         before, now = now, nxt
     else:
         raise RuntimeError("components did not settle")
+    if before is not None:
+        discard(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -24,6 +24,8 @@ from .grams import NOT_SPACE, Words, mix, shingle_sets
 _U = np.uint64
 #: 32 bands of 4 slots: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^32, below 5e-8.
 BANDS, ROWS = 32, 4
+#: Buckets in common from which two centres are taken for texts of one group: unlikely below a similarity of 0.4.
+SEVERAL = 2
 
 
 def superminhash(elements: np.ndarray, ends: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
@@ -82,35 +84,46 @@ def _sketch(k: int, bands: int, rows: int):
     return run
 
 
-def _compare(k: int, percent: int):
-    """For pairs of a centre a and a member b: whether they are linked, and how b differs from a.
+def prefixes(x: int, c: int, added: int, removed: int, percent: int) -> tuple[int, int, int]:
+    """How many of a member's first added shingles, and of its first removed ones as the one that looks up
+    and as the one that is looked up, residual_pairs() needs. x and c: set sizes of member and centre."""
+    m, q = 100 - percent, 100 + percent
+    # a linked y has at most 100 / percent as many shingles, so x and y differ in `most` shingles at most
+    most = (x + 100 * x // percent) * m // q
+    left = most - added
+    if left < 0:
+        return min(added, most + 1), 0, 0
+    looks = max(1, removed - left, -((-(added + removed) * q + (x + c - 1) * m) // (2 * q)))
+    shown = max(1, removed - left, ((added + removed) * q - (x - c) * m) // (2 * q) + 1)
+    return min(added, most + 1), max(0, removed + 1 - looks), max(0, removed + 1 - shown) if x < c else 0
 
-    `differs` holds all shingles that one of the two lacks; `least` and `most` say how many of them
-    residual_pairs() has to index and to look up.
-    """
-    ratio = (100 + percent) / (100 - percent) if percent < 100 else np.inf
+
+def _compare(k: int, percent: int):
+    """For pairs of a centre a and a member b: whether they are linked, the shingles that b adds to a's and
+    those of a's that it lacks, and how many of them count (prefixes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
             one, two = (shingle_sets(Words(*text_buffers(batch.column(c)), NOT_SPACE), k) for c in ("text_a", "text_b"))
-            linked, differs, least, most = [], [], [], []
+            linked, added, removed, counts = [], [], [], []
             for i in range(batch.num_rows):
                 x, y = one[0][one[1][i] : one[1][i + 1]], two[0][two[1][i] : two[1][i + 1]]
-                both = np.intersect1d(x, y, assume_unique=True)
-                linked.append(len(both) > 0 and 100 * len(both) >= percent * (len(x) + len(y) - len(both)))
-                differs.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
-                shared = (len(differs[-1]) - max(0, len(y) - len(x)) / ratio) / 2
-                least.append(len(differs[-1]) - int(shared))
-                needed = (len(differs[-1]) - (len(x) + len(y)) / ratio) / 2
-                most.append(len(differs[-1]) + 1 - max(1, int(np.ceil(needed - 1e-9))))
-            found = [pa.array(linked, pa.bool_()), pa.array(differs, pa.list_(pa.int64())), pa.array(least, pa.int32()), pa.array(most, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *found], ["a", "b", "linked", "differs", "least", "most"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                added.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
+                removed.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
+                counts.append(prefixes(len(y), len(x), len(added[-1]), len(removed[-1]), percent))
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (added, removed)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *lists, *(pa.array([c[i] for c in counts], pa.int32()) for i in range(3))], COMPARED)
 
     return run
 
 
+COMPARED = ["a", "b", "linked", "added", "removed", "most", "looks", "shown"]
+
+
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of all ids in the pairs, stored. The join is a shuffled one at every size, so that figures of small runs tell of large ones."""
+    """(id, text) of all ids in the pairs, stored. The ids grow with the table and have no proven bound, so they aren't broadcast."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     return stored(docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").distinct(), "pair-texts")
 
@@ -119,36 +132,48 @@ def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, columns:
     """The pairs (a, b) compared by their full shingle sets."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, differs array<long>, least int, most int").select(columns), "compared")
+    schema = "a long, b long, linked boolean, added array<long>, removed array<long>, most int, looks int, shown int"
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), schema).select(columns), "compared")
+
+
+def _meet(members: DataFrame, shingles: str, looks: str, shown: str) -> DataFrame:
+    """Members of one centre, of different components and one of them not linked with it, that have one of
+    their first `looks` and `shown` of these shingles in common, by the number of members that have them."""
+    row = ["a", "b", "form", "component", "linked", "looks", "shown", "size"]
+    sized = members.where(F.greatest(looks, shown) > 0).withColumn("size", F.size(shingles)).withColumn("all", F.col(shingles))
+    cells = stored(sized.select("a", "b", "form", "component", "linked", F.col(looks).alias("looks"), F.col(shown).alias("shown"), "size", F.explode("all").alias("shingle")), "differences")
+    often = cells.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = cells.join(often, ["a", "shingle"]).groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("ranked"))
+    # those of one member alone come before all that are ranked
+    first = lambda n: F.slice("ranked.shingle", F.lit(1), F.greatest(F.lit(0), F.col(n) - F.col("size") + F.size("ranked")))
+    lists = stored(ranked.select("a", "b", "component", "linked", first("looks").alias("looks"), first("shown").alias("shown")), "ranked")
+    odd = lists.where("not linked").select("a", F.col("b").alias("x"), F.col("component").alias("group_x"), F.explode("looks").alias("shingle"))
+    every = lists.select("a", F.col("b").alias("y"), F.col("component").alias("group_y"), F.explode("shown").alias("shingle"))
+    return odd.join(every, ["a", "shingle"]).where("x <> y and group_x <> group_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def residual_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of members of one centre that may be linked though one of them is not linked with the centre.
 
-    Let D(x) be the shingles in which x differs from centre c, and t = (100 + percent) / (100 - percent).
-    x and y are linked only if t * |D(x) ^ D(y)| <= |x| + |y|; x is not linked with c, so
-    t * |D(x)| > |x| + |c|. Together, |D(x) & D(y)| > (|D(y)| - (|y| - |c|) / t) / 2: they share over
-    half of D(y) or nearly so, and at least (|D(x)| - (|x| + |c|) / t) / 2. In one order of all shingles,
-    then, the first `least` of D(y) and the first `most` of D(x) have one in common. Shingles come by the
-    number of c's members that differ in them, so most of the first belong to one member alone and meet
-    nothing, and what all members differ in from c comes last. Members of one group are left out, and so are centres whose members are all in one.
+    Let A(x) be the shingles that x adds to centre c's and R(x) those of c's that it lacks, and
+    t = (100 + percent) / (100 - percent). x and y are linked if and only if
+    |A(x) ^ A(y)| + |R(x) ^ R(y)| <= (|x| + |y|) / t; x is not linked with c, so |A(x)| + |R(x)| > (|x| + |c|) / t.
+    If A(x) and A(y) have nothing in common, both together give
+    |A(x)| + |R(x)| <= |A(x)| + |R(x) ^ R(y)| + |R(y)| <= (|x| + |y|) / t - (|y| - |c|), so y is smaller than c.
+    Linked members thus share an added shingle, or one of them is smaller than c and they share over
+    (|A(y)| + |R(y)| - (|y| - |c|) / t) / 2 of the shingles that both lack.
+
+    What members add is seldom added by many. What they lack is from one set and meets by chance, but only
+    members smaller than c show it. In one order of all shingles, the ones of fewest members first, the first
+    few of each (prefixes) have one in common, and most of the first belong to one member alone and meet nothing.
+    Members of one group are left out, and so are centres whose members are all in one.
     """
     group = groups.select(F.col("node").alias("b"), "component")
     named = compared.join(group, "b", "left").withColumn("component", F.coalesce("component", "b"))
     apart = named.groupBy("a").agg(F.bool_or(~F.col("linked")).alias("odd"), F.min("component").alias("low"), F.max("component").alias("high")).where("odd and low < high").select("a")
     # rows that repeat an id with another text are told apart by their differences
-    member = ["a", "b", "form", "component", "linked", "least", "most", "size"]
-    sized = named.join(apart, "a", "left_semi").withColumn("form", F.xxhash64("differs")).withColumn("size", F.size("differs"))
-    cells = stored(sized.select(*member, F.explode("differs").alias("shingle")), "differences")
-    often = cells.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = cells.join(often, ["a", "shingle"]).groupBy(*member).agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("ranked"))
-    # those of one member alone come before all that are ranked
-    first = lambda n: F.slice("ranked.shingle", F.lit(1), F.greatest(F.lit(0), F.col(n) - F.col("size") + F.size("ranked")))
-    lists = stored(ranked.select("a", "b", "component", "linked", first("most").alias("probe"), first("least").alias("index")), "ranked")
-    odd = lists.where("not linked").select("a", F.col("b").alias("x"), F.col("component").alias("group_x"), F.explode("probe").alias("shingle"))
-    every = lists.select("a", F.col("b").alias("y"), F.col("component").alias("group_y"), F.explode("index").alias("shingle"))
-    met = odd.join(every, ["a", "shingle"]).where("x <> y and group_x <> group_y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    members = stored(named.join(apart, "a", "left_semi").withColumn("form", F.xxhash64("added", "removed")), "members")
+    return _meet(members, "added", "most", "most").union(_meet(members, "removed", "looks", "shown")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -166,11 +191,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are ignored, whatever their names. An empty table gives an empty one.
 
     Candidates are pairs that share a band. Each band's bucket has a
-    centre, the member that shares most buckets with others, and every
-    member is compared with it, so a group of copies costs one comparison
-    a member and not one a pair. Members that are not linked with their
-    centre are then compared with those that share their edits
-    (residual_pairs), which loses no link inside a bucket.
+    centre, the member that shares most buckets with others, or that
+    member's own centre, and every member is compared with it, so a group
+    of copies costs one comparison a member and not one a pair. Members
+    that are not linked with their centre are then compared with those
+    that share their edits (residual_pairs), which loses no link inside a
+    bucket.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = stored(docs.mapInArrow(_sketch(k, BANDS, ROWS), "id long, digest binary, n long, bands array<long>"), "signatures")
@@ -182,16 +208,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = stored(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "buckets")
     weighed = shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
     centres = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("node").alias("last"))).alias("most")).select("key", F.bitwise_not("most.last").alias("centre"))
-    stars = shared.join(centres, "key").where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    met = shared.join(centres, "key").groupBy("centre", "node").agg(F.count("*").alias("n"))
+    met = stored(met, "met")
+    # a centre's buckets go to the heaviest other centre that it shares several with, so that a group has few centres
+    weight = weighed.groupBy("node").agg(F.max("weight").alias("weight"))
+    heavier = met.where(F.col("n") >= SEVERAL).join(met.select(F.col("centre").alias("node")).distinct(), "node", "left_semi").join(weight.select(F.col("node").alias("centre"), "weight"), "centre")
+    roots = heavier.groupBy("node").agg(F.max(F.struct("weight", F.bitwise_not("centre").alias("last"))).alias("most")).select(F.col("node").alias("centre"), F.bitwise_not("most.last").alias("root"))
+    stars = met.join(roots, "centre", "left").select(F.coalesce("root", "centre").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     stars = stored(stars, "stars")
     texts = _texts(docs, stars)
-    first = _compared(texts, stars, k, percent, ["a", "b", "linked", "differs", "least", "most"])
+    first = _compared(texts, stars, k, percent, COMPARED)
     links = first.where("linked").select("a", "b")
-    groups = stored(connected_components(links, "a", "b"), "groups")
-    second = _compared(texts, stored(residual_pairs(first, groups), "residual"), k, percent, ["a", "b", "linked"])
-    discard(texts)
-    edges = links.union(second.where("linked").select("a", "b")).union(copies)
-    groups = connected_components(edges, "a", "b")
+    part = stored(connected_components(links, "a", "b"), "groups")
+    residual = stored(residual_pairs(first, part), "residual")
+    second = _compared(texts, residual, k, percent, ["a", "b", "linked"])
+    groups = connected_components(links.union(second.where("linked").select("a", "b")).union(copies), "a", "b")
+    for used in (reps, shared, met, stars, texts, first, part, residual, second):
+        discard(used)
     out = every.select("id", "n").join(groups, every["id"] == groups["node"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
