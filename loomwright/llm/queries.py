@@ -58,9 +58,20 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then n_kept, the removed spans (start:end in bytes) and the text that stays."""
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    removed = F.col("n_bytes") - F.octet_length("kept")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    n_kept = F.octet_length("kept").cast("long")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - n_kept).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        n_kept.alias("n_kept"),
+        spans.alias("spans"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
