@@ -17,14 +17,28 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. On one machine, one of our own where it is unset; a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def others(columns: list[str], *results: str) -> list[str]:
+    """The named columns without those that a result replaces (names are compared as Spark does, without case)."""
+    gone = {r.lower() for r in results}
+    return [c for c in dict.fromkeys(columns) if c.lower() not in gone]
+
+
+def fields(df: DataFrame, columns: list[str]) -> str:
+    """The columns' part of a schema string, ready for more fields behind it."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*columns).schema.fields}
+    return "".join(f"`{name}` {kind}, " for name, kind in kinds.items())
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: df written to the shared folder and read again.
 

@@ -8,12 +8,15 @@ the known texts.
 
 from __future__ import annotations
 
+import json
 import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import others, stored
+
 #: Whole licence texts (<identifier>.txt) and standard headers (<identifier>.header.txt).
 TEXTS = Path(__file__).parent / "licence_texts"
 
@@ -138,16 +141,46 @@ def known_digests(known: DataFrame, most_broadcast: int = 10_000) -> DataFrame:
     return F.broadcast(digests) if known.limit(most_broadcast + 1).count() <= most_broadcast else digests
 
 
-def scan(df: DataFrame, digests: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of df with digest, of the whole canonical text, and licence, the known licence that it is, else null.
+#: Known texts up to which a line is looked up in the row that holds it.
+MOST_IN_ROW = 10_000
 
-    Null and empty texts have the digest of an empty text and no licence.
-    Repeated rows are scanned each, columns that are not named are
-    dropped, an empty table gives an empty one.
+
+def scan(df: DataFrame, digests: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The named columns of df with digest, of the whole canonical text, licence, the known licence that it is, else null,
+    and notices: the lines that are a known text, as (line from 0, licence).
+
+    A copyright line counts as an empty line. Null and empty texts have
+    the digest of an empty text, no licence and no notices. Every row is
+    scanned by itself, whatever its id, so repeated rows give repeated
+    results; columns that are not named are dropped, named ones called
+    like a result are replaced, an empty table gives an empty one. The text
+    is normalised once; whole texts meet the known digests in a hash join.
     """
-    docs = df.select(*columns, F.sha2(canonical(F.col(text_col).cast("string")), 256).alias("digest"))
-    out = docs.join(digests.withColumnRenamed("digest", "known_digest"), F.col("digest") == F.col("known_digest"), "left")
-    return out.select(*columns, "digest", "licence")
+    columns = others(columns, "digest", "licence", "notices")
+    lined = df.select(*columns, canonical_lines(F.col(text_col).cast("string")).alias("__lines"))
+    whole = F.sha2(F.trim(F.regexp_replace("__lines", "[ \n]+", " ")), 256)
+    if digests.limit(MOST_IN_ROW + 1).count() > MOST_IN_ROW:
+        return _scan_large(lined, digests, columns, whole)
+    known = {r.digest: r.licence for r in digests.collect()}  # at most MOST_IN_ROW
+    lines = F.filter(F.transform(F.split("__lines", "\n"), lambda x, i: F.struct(i.cast("long").alias("line"), F.trim(x).alias("said"))), lambda x: x["said"] != "")
+    said = F.filter(F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.sha2(x["said"], 256).alias("said"))), lambda x: x["said"].isin(list(known)))
+    names = F.from_json(F.lit(json.dumps(known)), "map<string, string>")
+    named = F.transform("__said", lambda x: F.struct(x["line"].alias("line"), F.element_at(names, x["said"]).alias("licence")))
+    rows = lined.select(*columns, whole.alias("digest"), said.alias("__said"))
+    out = rows.join(digests.select(F.col("digest").alias("__known"), "licence").hint("broadcast"), F.col("digest") == F.col("__known"), "left")
+    return out.select(*columns, "digest", "licence", named.alias("notices"))
+
+
+def _scan_large(lined: DataFrame, digests: DataFrame, columns: list[str], whole: Column) -> DataFrame:
+    """scan() against any number of known texts: lines are rows of a shuffled join. Rows get their number in a stored table."""
+    lines = F.transform(F.split("__lines", "\n"), lambda x: F.sha2(F.trim(x), 256))
+    rows = stored(lined.select(*columns, whole.alias("digest"), lines.alias("__digests")).withColumn("__row", F.monotonically_increasing_id()), "licence-lines")
+    known = digests.select(F.col("digest").alias("__known"), "licence")
+    said = rows.select("__row", F.posexplode("__digests").alias("line", "__said")).join(known, F.col("__said") == F.col("__known"))
+    found = said.groupBy(F.col("__row").alias("__of")).agg(F.array_sort(F.collect_list(F.struct(F.col("line").cast("long").alias("line"), "licence"))).alias("notices"))
+    out = rows.join(known, F.col("digest") == F.col("__known"), "left").join(found, F.col("__row") == F.col("__of"), "left")
+    none = F.array().cast("array<struct<line: bigint, licence: string>>")
+    return out.select(*columns, "digest", "licence", F.coalesce("notices", none).alias("notices"))
 
 
 def scan_lines(df: DataFrame, digests: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -79,11 +79,10 @@ def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     digests = licences.known_digests(licences.known_licences(spark))
-    lines = licences.scan_lines(docs, digests, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
-    whole = licences.scan(docs, digests, ["doc_id"])
-    return whole.join(lines, "doc_id", "left").select("doc_id", "digest", "licence", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    found = licences.scan(table(spark, sf_dir, "documents"), digests, ["doc_id"])
+    names = F.array_join(F.array_sort(F.array_distinct("notices.licence")), ",")
+    return found.select("doc_id", "digest", "licence", F.size("notices").cast("long").alias("n_notices"), names.alias("notices"))
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
