@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import fields, others, slices, stored
 
 # Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,9 +39,14 @@ SAFE = {"article", "main", "body", "html"}
 IMPLIED = {"p": BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "legend", "summary"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 #: What bounds the search for an open element to close.
 SCOPE = {"table", "td", "th", "ul", "ol", "dl", "article", "section", "main", "aside", "nav", "div", "body", "html", "form", "header", "footer"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+#: Quotes count only where a value begins; elsewhere they belong to a name or an unquoted value.
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>|[^<]+|<""", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Raw elements whose content is text up to their own end tag; the others may hold elements of their own name.
+PLAIN = {"script", "style", "textarea", "title", "noscript", "iframe"}
+#: A header of these is part of the main text.
+OWN_HEADER = {"article", "post", "entry", "story", "content"}
 
 
 def generalise(name: str) -> str:
@@ -50,7 +55,26 @@ def generalise(name: str) -> str:
 
 
 def marked(names: str) -> bool:
-    return any(part in MARKS for part in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()))
+    """Whether a class, id or role says that an element isn't main text."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
+        parts = set(re.split(r"[^a-z]+", name))
+        found = parts & MARKS
+        if found and not (found == {"header"} and parts & OWN_HEADER):
+            return True
+    return False
+
+
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the raw element that opened before `at` is over. A script or style without an end tag takes the rest of the page, another element nothing."""
+    depth = 1
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", page[at:], re.I):
+        if m[1]:
+            depth -= 1
+        elif name not in PLAIN and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return at + m.end()
+    return len(page) if name in ("script", "style") else at
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None], list[int]]:
@@ -79,23 +103,21 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None], list
                 found.append((text, stack[-1][1], linked, *stack[-1][3:]))
         linked = 0
 
-    raw = ""
+    over = 0  # where the raw element at hand ends
     for m in TOKEN.finditer(page):
+        if m.start() < over:
+            continue
         token = m[0]
         tag = TAG.match(token) if token[0] == "<" else None
         if tag is None:
             if token[0] == "<" and len(token) > 1:
                 continue  # a comment or declaration
-            if not raw and not stack[-1][2]:
+            if not stack[-1][2]:
                 buffer.append(token)
                 if in_link:
                     linked += len(token)
             continue
         ends, name = tag[1] == "/", tag[2].lower()
-        if raw:
-            if ends and name == raw:
-                raw = ""
-            continue
         if name == "a":
             in_link = 0 if ends else 1
             continue
@@ -113,7 +135,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None], list
                     del stack[at:]
             continue
         if name in RAW:
-            raw = "" if token.endswith("/>") and name not in ("script", "style", "title", "textarea") else name
+            if name in PLAIN or not token.endswith("/>"):
+                over = raw_end(page, name, m.end())
             continue
         if name not in BLOCKS and name not in OUTSIDE:
             continue  # inline: its text belongs to the block
@@ -124,7 +147,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[str | None], list
             del stack[at:]
             at -= 1
         names = [(k.lower(), v.strip("\"'")) for k, v in NAMES.findall(token)] if len(token) > len(name) + 2 else []
-        drop = stack[-1][2] or name in OUTSIDE
+        # the header of an article or main element is its own
+        drop = stack[-1][2] or (name in OUTSIDE and not (name == "header" and any(x[0] in ("article", "main") for x in stack)))
         own, around, texts = stack[-1][1], stack[-1][3], stack[-1][4]
         mark = not drop and any(marked(v) for _, v in names)
         if mark and name not in SAFE:
@@ -201,9 +225,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "html"):
-        texts = [extract(t or "", p) for t, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-        kept = [n for n in batch.schema.names if n not in ("html", "path", "host")]
+    for batch in slices(batches, "__html"):
+        texts = [extract(t or "", p) for t, p in zip(batch.column("__html").to_pylist(), batch.column("__path").to_pylist(), strict=True)]
+        kept = [n for n in batch.schema.names if n not in ("__html", "__path")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
 
@@ -217,18 +241,19 @@ def main_text(df: DataFrame, columns: list[str], url_col: str = "url", html_col:
     Null and empty pages have the text ''. Pages without a host (a null or
     odd url) vote for nothing and use their own best container. Ties
     between paths go to the smaller path. Repeated rows vote and are
-    extracted each; columns that are not named are dropped; an empty
-    table gives an empty one.
+    extracted each; columns that are not named are dropped, a named one
+    called text is replaced by the result; an empty table gives an empty
+    one. A page of any length is read whole.
     """
+    columns = others(columns, "text")
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    pages = df.select(*columns, F.when(host != "", host).alias("host"), F.col(html_col).cast("string").alias("html"))
-    votes = pages.select("host", "html").where("host is not null").mapInArrow(_votes, "host string, path string, score double")
+    pages = df.select(*columns, F.when(host != "", host).alias("__host"), F.col(html_col).cast("string").alias("__html"))
+    votes = pages.select(F.col("__host").alias("host"), F.col("__html").alias("html")).where("host is not null").mapInArrow(_votes, "host string, path string, score double")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score"))
     best = counted.groupBy("host").agg(F.max(F.struct("n", "score")).alias("top"))
     tied = counted.join(best, "host").where((F.col("n") == F.col("top.n")) & (F.col("score") == F.col("top.score")))
     winners = stored(tied.groupBy("host").agg(F.min("path").alias("path")), "host-paths")
-    named = winners.withColumnRenamed("host", "of")
+    named = winners.select(F.col("host").alias("__of"), F.col("path").alias("__path"))
     few = winners.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    joined = pages.join(F.broadcast(named) if few else named, F.col("host") == F.col("of"), "left").drop("of")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields if f.name in columns)
-    return joined.select(*columns, "host", "html", "path").mapInArrow(_extracted, f"{fields}text string")
+    joined = pages.join(F.broadcast(named) if few else named, F.col("__host") == F.col("__of"), "left")
+    return joined.select(*columns, "__html", "__path").mapInArrow(_extracted, f"{fields(df, columns)}text string")
