@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _flat
-from .common import slices, text_buffers
+from .common import discard, fields, others, slices, stored, text_buffers
 from .grams import _BYTE, LETTERS_DIGITS, Words, mix
 
 _U, _F = np.uint64, np.float32
@@ -34,6 +34,8 @@ LEAST_TEXTS = 3
 EPOCHS, BATCH, RATE = 4, 48, 0.01
 #: Steps of training at least, so that a small sample is gone over more often.
 STEPS = 150
+#: The first component of an embedding starts from log odds in standard errors: how many chance may bring, and how many more count.
+CHANCE, PRIOR = 2.0, 3.0
 
 
 # ---- inputs
@@ -105,7 +107,7 @@ class Network:
         size = lambda *s, by=0.3: draw.normal(0, by, s).astype(_F)
         d, h, a = WORD + CHAR, HIDDEN, ATTENTION
         self.words, self.grams = words, grams
-        self.p = {"word": size(len(words) + 1, WORD), "char": size(len(grams) + 1, CHAR), "attend": size(2 * h, a), "attend_b": size(a), "point": size(a), "out": size(2 * h), "out_b": np.full(1, -1, _F)}
+        self.p = {"word": size(len(words) + 1, WORD, by=0.05), "char": size(len(grams) + 1, CHAR, by=0.05), "attend": size(2 * h, a), "attend_b": size(a), "point": size(a), "out": size(2 * h), "out_b": np.full(1, -1, _F)}
         for way in "fb":
             self.p |= {f"in_{way}": size(d, 3 * h), f"bias_{way}": size(3 * h, by=0.1), f"state_{way}": size(h, 3 * h)}
 
@@ -209,34 +211,47 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sorted_[heads], np.add.reduceat(values[order], heads)
 
 
-def _frequent(texts: np.ndarray, values: np.ndarray, most: int = 1 << 19) -> np.ndarray:
-    """Sorted values that occur in LEAST_TEXTS texts or more; texts are in order, and counted a part at a time."""
-    known, counts, at = np.zeros(0, _U), np.zeros(0, np.int64), 0
+def _known(texts: np.ndarray, values: np.ndarray, labels: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted values that occur in LEAST_TEXTS texts or more, texts of label 0 and of label 1 with each);
+    texts are in order, and counted a part at a time."""
+    known, counts, at = np.zeros(0, _U), np.zeros((0, 2)), 0
     while at < len(values):
         stop = int(np.searchsorted(texts, texts[min(at + most, len(texts)) - 1], "right"))
         order = np.lexsort((texts[at:stop], values[at:stop]))
         value, text = values[at:stop][order], texts[at:stop][order]
         new = np.concatenate(([True], (value[1:] != value[:-1]) | (text[1:] != text[:-1])))
-        both = np.concatenate((known, value[new]))
-        known, place = np.unique(both, return_inverse=True)
-        counts = np.bincount(place, np.concatenate((counts, np.ones(int(new.sum()), np.int64))), len(known)).astype(np.int64)
-        at = stop
-    return known[counts >= LEAST_TEXTS]
+        wide, place = np.unique(np.concatenate((known, value[new])), return_inverse=True)
+        own, label = place[len(known) :], labels[text[new]]
+        fresh = np.stack([np.bincount(own, label == y, len(wide)) for y in (0, 1)], axis=1)
+        fresh[place[: len(known)]] += counts
+        known, counts, at = wide, fresh, stop
+    often = counts.sum(axis=1) >= LEAST_TEXTS
+    return known[often], counts[often]
 
 
-def _frequent_grams(texts: np.ndarray, of: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Sorted character grams of LEAST_TEXTS texts or more; the texts' distinct words are looked at some texts at a time."""
+def _known_grams(texts: np.ndarray, of: np.ndarray, starts: np.ndarray, counts: np.ndarray, grams: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_known() of character grams; the texts' distinct words are looked at some texts at a time."""
     size = max(len(counts), 1)
     text, word = np.divmod(np.unique(texts.astype(np.int64) * size + of), size)
     wide, ids = np.unique(grams, return_inverse=True)
-    seen, at = np.zeros(len(wide), np.int64), 0
+    seen, at = np.zeros((len(wide), 2)), 0
     while at < len(word):
         stop = int(np.searchsorted(text, text[min(at + 50_000, len(text)) - 1], "right"))
         part = word[at:stop]
-        pair = np.unique(np.repeat(text[at:stop], counts[part]) * len(wide) + ids[_flat(starts[part], counts[part])])
-        seen += np.bincount(pair % len(wide), minlength=len(wide))
+        in_text, gram = np.divmod(np.unique(np.repeat(text[at:stop], counts[part]) * len(wide) + ids[_flat(starts[part], counts[part])]), len(wide))
+        for y in (0, 1):
+            seen[:, y] += np.bincount(gram, labels[in_text] == y, minlength=len(wide))
         at = stop
-    return wide[seen >= LEAST_TEXTS]
+    often = seen.sum(axis=1) >= LEAST_TEXTS
+    return wide[often], seen[often]
+
+
+def log_odds(seen: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How much more often texts of label 1 have something than those of label 0, in standard errors beyond CHANCE, from -PRIOR to PRIOR."""
+    n = np.array([max(1, (labels == y).sum()) for y in (0, 1)])
+    odds = np.log((seen + 0.5) / (n - seen + 0.5))
+    z = (odds[:, 1] - odds[:, 0]) / np.sqrt((1 / (seen + 0.5) + 1 / (n - seen + 0.5)).sum(axis=1))
+    return (np.sign(z) * np.clip(np.abs(z) - CHANCE, 0, PRIOR)).astype(_F)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
@@ -245,8 +260,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
     _, distinct, of = np.unique(words.hash, return_index=True, return_inverse=True)
     grams, counts = char_grams(words, distinct) if len(distinct) else (np.zeros(0, _U), np.zeros(0, np.int64))
     starts = np.cumsum(counts) - counts
-    known_grams = _frequent_grams(words.text, of, starts, counts, grams)
-    net = Network(_frequent(words.text, words.hash), known_grams, seed)
+    (known_words, said), (known_grams, held) = _known(words.text, words.hash, labels), _known_grams(words.text, of, starts, counts, grams, labels)
+    net = Network(known_words, known_grams, seed)
+    # a small sample teaches little by gradients alone: embeddings start from what the labels say of each word
+    net.p["word"][1:, 0] = log_odds(said, labels)
+    net.p["char"][1:, 0] = log_odds(held, labels)
     row, gram = _lookup(net.words, words.hash[distinct]), _lookup(net.grams, grams)
     text, places = window_words(words)
     window_ends = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -317,34 +335,39 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(~held_out(F.col("id")) & (F.length("text") <= LENGTH))
-    rows = texts.join(known, "id").withColumn("order", F.xxhash64("text"))
-    picked = [rows.where(f"label = {label}").orderBy("order", "text", "id").limit(SAMPLE[1 - label]).select("text", "label", "order") for label in (0, 1)]
-    sample = picked[0].union(picked[1]).toArrow()
+    # ids and hashes are joined with the labels; only the chosen rows' texts are fetched
+    hashed = stored(texts.select("id", F.xxhash64("text").alias("order")).join(known, "id").select("label", "order", "id").distinct(), "label-hashes")
+    picked = [hashed.where(f"label = {label}").orderBy("order", "id").limit(SAMPLE[1 - label]) for label in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # at most sum(SAMPLE) rows
+    rows = texts.withColumn("order", F.xxhash64("text")).join(chosen, ["id", "order"])
+    sample = rows.groupBy("id", "label", "order").agg(F.min("text").alias("text")).select("text", "label", "order").toArrow()
+    discard(hashed)
     if not sample.num_rows:
         return None
     table = sorted(zip(sample["order"].to_pylist(), sample["label"].to_pylist(), sample["text"].to_pylist(), strict=True))
     return fit([t for _, _, t in table], np.array([y for _, y, _ in table]))
 
 
-def _scored(model: bytes):
+def _scored(model: bytes, to: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(model)
         for batch in slices(batches, "__text", 1 << 19):
             found = score(net, *text_buffers(batch.column("__text"))) if net is not None else np.zeros(batch.num_rows)
             kept = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found, pa.float64())], [*kept, to])
 
     return run
 
 
-def toxicity(df: DataFrame, net: Network | None, columns: list[str], text_col: str = "text") -> DataFrame:
+def toxicity(df: DataFrame, net: Network | None, columns: list[str], text_col: str = "text", to: str = "score") -> DataFrame:
     """The named columns of df with the toxicity score (0 to 1) of each whole text.
 
     Only the text is read for the score. Null and empty texts get the score
     of a window without words; without a network every score is 0. Rows are
     independent: repeated rows get equal scores, an empty table gives an
-    empty one; columns that are not named are dropped.
+    empty one; columns that are not named are dropped, a named one called
+    like the result (`to`) is replaced by it.
     """
+    columns = others(columns, to)
     kept = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_scored(pickle.dumps(net)), f"{fields}score double")
+    return kept.mapInArrow(_scored(pickle.dumps(net), to), f"{fields(df, columns)}`{to}` double")
