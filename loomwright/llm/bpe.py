@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fields, others, slices
 
 # classes of code points
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
@@ -270,15 +270,21 @@ def encode(df: DataFrame, vocabulary: str, columns: list[str], text_col: str = "
     Control strings of chat formats are ordinary text. Null and empty
     texts have no tokens. Rows are independent: repeated rows give
     repeated results, an empty table an empty one. A column of df that is
-    not named is dropped; one named ids or offsets must be renamed before.
+    not named is dropped; a named one called ids or offsets is replaced by
+    the result. A text of any length is encoded whole.
     """
+    columns = others(columns, "ids", "offsets")
     kept = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_encode(vocabulary, "__text"), f"{fields}, ids array<int>, offsets array<int>")
+    return kept.mapInArrow(_encode(vocabulary, "__text"), f"{fields(df, columns)}ids array<int>, offsets array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", offsets_col: str = "offsets", to: str = "decoded") -> DataFrame:
-    """df with the bytes of its ids, each token put where its offset says, in place of the offsets; null ids give no bytes."""
-    kept = [f for f in df.schema.fields if f.name not in (ids_col, offsets_col)]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return df.mapInArrow(_decode(vocabulary, ids_col, offsets_col, to), f"{fields}`{ids_col}` array<int>, `{to}` binary")
+    """df with the bytes of its ids, each token put where its offset says, in place of the offsets.
+
+    Null ids and empty lists give no bytes. Rows are independent and keep
+    their other columns; one called `to` is replaced by the result. An
+    empty table gives an empty one.
+    """
+    kept = others(df.columns, ids_col, offsets_col, to)
+    rows = df.select(*kept, ids_col, offsets_col)
+    return rows.mapInArrow(_decode(vocabulary, ids_col, offsets_col, to), f"{fields(df, kept)}`{ids_col}` array<int>, `{to}` binary")

@@ -142,8 +142,9 @@ def _extend(window: int):
 
 
 def row_key(row_id: F.Column, text: F.Column) -> F.Column:
-    """What tells rows of contamination() apart: the key of a row's id and text."""
-    return F.xxhash64(row_id.cast("string"), text.cast("string"))
+    """What tells rows of contamination() apart: a 128-bit key of a row's id and text."""
+    both = (row_id.cast("string"), text.cast("string"))
+    return F.concat_ws("-", F.xxhash64(*both).cast("string"), F.xxhash64(F.lit(7), *both).cast("string"))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
@@ -172,11 +173,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     known = np.sort(few) if len(few) <= MOST_BROADCAST else None
     if not len(few):
         known, lengths = np.zeros(1, np.uint64), []
-    counted = stored(docs.mapInArrow(_matched(known, lengths, window), f"id {df.schema[id_col].dataType.simpleString()}, key long, text string, n_words long, prints array<long>"), "doc-prints")
+    counted = stored(docs.mapInArrow(_matched(known, lengths, window), f"id {df.schema[id_col].dataType.simpleString()}, key string, text string, n_words long, prints array<long>"), "doc-prints")
     pairs = counted.where(F.size("prints") > 0).select("key", F.explode("prints").alias("print")).join(prints.select("print", "item").distinct(), "print").select("key", "item").distinct()
     listed = pairs.join(items.distinct(), "item").groupBy("key").agg(F.collect_list(F.struct("item", "text")).alias("items"))
     texts = counted.where("text is not null").select("key", "text").join(listed, "key")
-    hits = texts.select("key", "text", "items").mapInArrow(_extend(window), "key long, n_hit long, items array<string>").groupBy("key").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"))
+    hits = texts.select("key", "text", "items").mapInArrow(_extend(window), "key string, n_hit long, items array<string>").groupBy("key").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"))
     hits = stored(hits, "hits")
     out = counted.select("id", "key", "n_words").join(hits, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import slices
+from .common import fields, others, slices
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -79,7 +79,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     return sorted(spans), runs
 
 
-def _scan(path: str, pattern: str):
+def _scan(path: str, pattern: str, to: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path, pattern)
 
@@ -99,7 +99,7 @@ def _scan(path: str, pattern: str):
                 more = [(a, 3, b) for a, b in runs if t[a:b] in random]
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans + more)])
             kept = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(rows, SPANS)], [*kept, "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(rows, SPANS)], [*kept, to])
 
     return run
 
@@ -107,17 +107,19 @@ def _scan(path: str, pattern: str):
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_secrets(df: DataFrame, vocabulary: str, pattern: str, columns: list[str], text_col: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, vocabulary: str, pattern: str, columns: list[str], text_col: str = "text", to: str = "spans") -> DataFrame:
     """The named columns of df with spans: array of (kind, start, end) in code points, end exclusive, by start, then kind.
 
     Spans of different kinds may overlap; those of one kind never do.
     `vocabulary` is the path of a tiktoken rank file, `pattern` its split
-    pattern. Null and empty texts have no spans. Rows are independent;
-    columns that are not named are dropped; an empty table gives an empty one.
+    pattern. Null and empty texts have no spans, texts of any length are
+    read whole. Rows are independent: repeated rows give repeated results,
+    an empty table an empty one. Columns that are not named are dropped, a
+    named one called like the result (`to`) is replaced by it.
     """
+    columns = others(columns, to)
     kept = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_scan(vocabulary, pattern), f"{fields}spans array<struct<kind: string, start: int, end: int>>")
+    return kept.mapInArrow(_scan(vocabulary, pattern, to), f"{fields(df, columns)}`{to}` array<struct<kind: string, start: int, end: int>>")
 
 
 def redact(text: F.Column, spans: F.Column, mark: str = "[SECRET]") -> F.Column:
