@@ -92,6 +92,48 @@ def test_near_duplicates_by_brute_force(spark):
     assert minhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_one_large_family_of_edits_costs_few_pairs(spark, monkeypatch):
+    """2000 copies of one text with words replaced, dropped and added, and 200 texts around one passage."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for n in range(2000):
+        words = list(base)
+        for _ in range(rng.integers(0, 9)):
+            at, kind = rng.integers(0, len(words)), rng.integers(0, 4)
+            words[at : at + 1] = [[f"x{rng.integers(0, 400)}"], [f"y{n}"], [], [words[at], f"z{rng.integers(0, 50)}"]][kind]
+        texts.append(" ".join(words))
+    texts += [" ".join([*(f"p{i}" for i in range(60)), *(f"q{n % 150}.{i}" for i in range(rng.integers(0, 90)))]) for n in range(200)]
+    sets = [_sets(t, 5) for t in texts]
+    names = {g: i for i, g in enumerate({g for s in sets for g in s})}
+    held = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [names[g] for g in s]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    a, b = np.nonzero(100 * both >= 80 * (size[:, None] + size - both))
+    want = _components(range(len(texts)), zip(a.tolist(), b.tolist(), strict=True))
+    pairs = []
+    residual = minhash.residual_pairs
+    monkeypatch.setattr(minhash, "residual_pairs", lambda *x: pairs.append(residual(*x)) or pairs[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, k=5).collect()} == want
+    assert len({*want.values()}) > 300  # many of them are near the others, but not linked
+
+
+def test_prefixes_never_lose_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(20000):
+        c = set(range(30))
+        x, y = ((c - set(rng.choice(30, rng.integers(0, 12)).tolist())) | set(rng.integers(30, 60, rng.integers(0, 9)).tolist()) for _ in range(2))
+        if rng.random() < 0.7:
+            y = (x - set(rng.choice(60, 4).tolist())) | set(rng.integers(0, 60, rng.integers(0, 4)).tolist())
+        linked = lambda s, t: 5 * len(s & t) >= 4 * len(s | t)
+        if not x or not y or x == y or not linked(x, y) or linked(x, c):
+            continue
+        (most_x, looks, _), (most_y, _, shown) = (minhash.prefixes(len(s), 30, len(s - c), len(c - s), 80) for s in (x, y))
+        added = set(sorted(x - c)[:most_x]) & set(sorted(y - c)[:most_y])
+        assert added or set(sorted(c - x)[:looks]) & set(sorted(c - y)[:shown])
+
+
 def test_repeats_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     make = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
@@ -251,3 +293,105 @@ def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {(r.n_words, r.n_hit, r.contaminated) for r in decontam.contamination(docs, none).collect()} == {(3, 0, False), (0, 0, False)}
     assert decontam.contamination(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><script>for(i=0;i<n;i++){f(\"x\")}</script><article><p>One main text.</p></article></body>", "One main text."),
+        ("<body><script>if(a<b){x()}</script><p>One main text.</p>", "One main text."),
+        ("<body><article><p class=it's>b text</p></article></body>", "b text"),
+        ("<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>A text of its own.</p></article></body>", "Title\nA text of its own."),
+        ("<body><article><div class=\"entry-header\"><h1>Title</h1></div><p>A text of its own.</p></article></body>", "Title\nA text of its own."),
+        ("<body><div class=legal-news><p>The long text of a page about the law, and then some more of it.</p></div><div class=x>short</div></body>", "The long text of a page about the law, and then some more of it."),
+        ("<body><article><svg><g><svg></svg><text>no</text></g></svg><p>yes<!--> and<!-- no --!> more</p></article></body>", "yes and more"),
+        ("<body><article><p>kept<select><option>no</article>", "keptno"),
+        ("<body><article><p title='a > b' data-class=sidebar>kept</p></article>", "kept"),
+    ],
+)
+def test_page_text_by_hand(page, want):
+    assert pages.extract(page, None) == want
+
+
+def test_columns_named_like_results_are_replaced(spark):
+    row = "1 as doc_id, 'password: abcdefgh12' as text, 5 as ids, 6 as offsets, 7 as score, 8 as spans, 9 as digest, 10 as notices, 'http://a.b/' as url, '<p>x</p>' as html, 11 as host, 12 as path, 13 as decoded"
+    df = spark.sql(f"SELECT {row}")
+    every = df.columns
+    encoded = bpe.encode(df, VOCABULARY, every)
+    assert encoded.first().ids and bytes(bpe.decode(encoded, VOCABULARY).first().decoded) == b"password: abcdefgh12"
+    assert toxicity.toxicity(df, None, every).first().score == 0
+    assert len(secrets.find_secrets(df, VOCABULARY, public_tokenizers.PATTERN, every).first().spans) == 1
+    found = pages.main_text(df, every).first()
+    assert (found.text, found.host, found.path, found.html) == ("x", 11, 12, "<p>x</p>")
+    digests = licences.known_digests(licences.known_licences(spark))
+    assert licences.scan(df, digests, every).first().notices == []
+
+
+def test_notices_of_every_row_are_its_own(spark, monkeypatch):
+    digests = licences.known_digests(licences.known_licences(spark))
+    mark = "Licensed under the MIT License."
+    known = spark.createDataFrame([("X", mark), ("Y", "under the y licence")], "licence string, text string")
+    digests = licences.known_digests(known)
+    rows = spark.createDataFrame([(1, mark), (1, f"{mark}\n \nUnder the Y license"), (None, f"a\n{mark}"), (2, None), (2, "")], "doc_id long, text string")
+    want = sorted([(1, "X", [(0, "X")]), (1, None, [(0, "X"), (2, "Y")]), (-1, None, [(1, "X")]), (2, None, []), (2, None, [])], key=repr)
+    for most in (10_000, 1):  # looked up in the row, and by a shuffled join
+        monkeypatch.setattr(licences, "MOST_IN_ROW", most)
+        found = licences.scan(rows, digests, ["doc_id"]).collect()
+        assert sorted([(-1 if r.doc_id is None else r.doc_id, r.licence, [tuple(n) for n in r.notices]) for r in found], key=repr) == want
+    assert licences.scan(rows.limit(0), digests, ["doc_id"]).count() == 0
+
+
+def _random_strings(rng):
+    """Labelled runs: random keys of several alphabets and lengths, and words, paths, identifiers, numbers and digests in context."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [letters + letters.upper() + digits, letters + letters.upper() + digits + "_-", letters + digits, letters.upper() + "234567", letters + letters.upper() + digits + "+/"]
+    secret = ["".join(rng.choice(list(a), n)) for a in alphabets for n in (20, 24, 32, 40, 64) for _ in range(20)]
+    words = "the configuration manager request handler update service account payment history customer report invoice delivery session builder network connection document".split()
+    pick = lambda n: list(rng.choice(words, n))
+    plain = ["_".join(pick(3)) for _ in range(100)] + ["/".join(["usr", "share", *pick(3)]) for _ in range(100)] + ["-".join(pick(3)) + "-2024" for _ in range(100)]
+    plain += ["".join(w.capitalize() for w in pick(3)) for _ in range(100)] + [f"2024-01-{d:02d}-{h:02d}-00-00-000" for d in range(1, 21) for h in range(5)]
+    plain += [f"sha256: {hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(50)] + [f"commit {hashlib.sha1(str(i).encode()).hexdigest()}" for i in range(50)]
+    return secret, plain
+
+
+def test_random_strings_are_found_by_their_tokens(spark):
+    secret, plain = _random_strings(np.random.default_rng(8))
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret + plain)], "doc_id long, text string")
+    found = secrets.find_secrets(rows, VOCABULARY, public_tokenizers.PATTERN, ["doc_id"])
+    hit = {r.doc_id for r in found.collect() if any(s.kind == "random" for s in r.spans)}
+    right = sum(i < len(secret) for i in hit)
+    assert right >= 0.95 * len(secret)
+    assert right >= 0.98 * len(hit)
+
+
+def test_gradient_and_forward_pass_of_the_network():
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(np.arange(1, 6, dtype=np.uint64), np.arange(1, 9, dtype=np.uint64), 3)
+    net.p = {k: rng.normal(0, 0.5, v.shape) for k, v in net.p.items()}
+    inputs = np.concatenate((np.zeros((1, toxicity.WORD + toxicity.CHAR)), rng.normal(0, 1, (4, toxicity.WORD + toxicity.CHAR))))
+    index = np.array([[1, 2, 3, 0], [4, 4, 1, 2]])
+    logit, kept = net.forward(inputs, index, keep=True)
+    h, p, sigmoid = toxicity.HIDDEN, net.p, lambda x: 1 / (1 + np.exp(-x))
+    for w in range(2):  # a plain loop over words
+        states = {}
+        for way, places in (("f", range(4)), ("b", range(3, -1, -1))):
+            s = np.zeros(h)
+            for t in places:
+                x, u = inputs[index[w, t]] @ p[f"in_{way}"] + p[f"bias_{way}"], s @ p[f"state_{way}"]
+                z, r = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+                s = (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :]) + z * s
+                states[way, t] = s
+        both = [np.concatenate((states["f", t], states["b", t])) for t in range(4)]
+        mark = np.array([np.tanh(x @ p["attend"] + p["attend_b"]) @ p["point"] for x in both])
+        share = np.exp(mark - mark.max()) / np.exp(mark - mark.max()).sum()
+        assert abs(sum(a * x for a, x in zip(share, both, strict=True)) @ p["out"] + p["out_b"][0] - logit[w]) < 1e-5
+    g, d = net.back(np.array([1.0, -0.5]), inputs, index, kept)
+    loss = lambda: float(net.forward(inputs, index)[0] @ np.array([1.0, -0.5]))
+    for name in ("in_f", "state_b", "bias_f", "attend", "point", "out"):
+        at = tuple(rng.integers(0, n) for n in p[name].shape)
+        keep, e = p[name][at], 1e-3
+        p[name][at] = keep + e
+        up = loss()
+        p[name][at] = keep - e
+        down, p[name][at] = loss(), keep
+        assert abs((up - down) / (2 * e) - g[name][at]) < 2e-3

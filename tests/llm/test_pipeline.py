@@ -83,3 +83,14 @@ def test_near_duplicates_keep_other_texts_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [(1, one), (1, two), (3, three), (4, ""), (None, one)]))
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    rows = [(1, "one text", 1.0, "s", "k"), (1, "another text", 2.0, "s", "k"), (2, None, 3.0, "s", "k"), (3, "", 4.0, "s", "k"), (None, "no id", 5.0, "s", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, spans string, key string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        if name != "toxicity":  # no labelled row: the score of a text is that of an untrained network
+            assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, rows))
+        assert stage(spark, docs.limit(0), SF).count() == 0
