@@ -29,6 +29,8 @@ _U = np.uint64
 MISS = 1e-3
 #: Standard deviations that the bound allows the estimate's error.
 EPSILON = 5.0
+#: Bits of a key at most; more than 2^44 vectors would be needed to fill them.
+MOST_BITS = 48
 #: Members of a bucket up to which one task compares them; larger ones are dealt out as pairs of parts.
 PART = 1500
 
@@ -42,7 +44,7 @@ def rotation(d: int, number: int) -> np.ndarray:
 
 def tables_for(rows: int, threshold: float, d: int) -> tuple[int, int]:
     """(bits of a key, tables): buckets hold a few unrelated vectors at any size, and MISS holds."""
-    bits = max(4, min(d, 24, math.ceil(math.log2(max(rows, 2))) + 4))
+    bits = max(1, min(d, MOST_BITS, math.ceil(math.log2(max(rows, 2))) + 4))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log1p(-same))
 
@@ -54,8 +56,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def keys_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Sign keys (rows x tables) of unit vectors; one rotation serves d // bits tables."""
     d = x.shape[1]
-    per, out = max(1, d // bits), np.empty((len(x), tables), np.uint32)
-    weights = 1 << np.arange(bits, dtype=np.uint32)
+    per, out = max(1, d // bits), np.empty((len(x), tables), _U)
+    weights = _U(1) << np.arange(bits, dtype=_U)
     for t in range(0, tables, per):
         signs = (x @ rotation(d, 1 + t // per)) > 0
         for j in range(min(per, tables - t)):
@@ -97,8 +99,8 @@ def _keyed(bits: int, tables: int):
                 for d in np.unique(sizes):  # vectors of different lengths never meet
                     rows = np.flatnonzero(sizes == d)
                     x = unit(flat[(starts[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d).astype(float))
-                    keys = keys_of(x, min(bits, d), tables).astype(_U)
-                    keys = mix(keys + (np.arange(tables, dtype=_U) << _U(24)) + (_U(d) << _U(40))).view(np.int64)
+                    keys = keys_of(x, min(bits, d), tables)
+                    keys = mix(keys ^ mix(np.arange(tables, dtype=_U) + (_U(d) << _U(32)))).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int16), len(rows))), pa.array(keys.ravel())], ["node", "t", "key"])
 
     return run
@@ -213,7 +215,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     every = stored(vectors.select("id", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda x: x + zero)).alias("v")).withColumn("digest", F.sha2(F.to_json(F.struct("v")), 256)), "vectors")
     usable = every.where("v is not null and id is not null")
     nodes = stored(usable.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("d", F.size("v")), "nodes")
-    bits, tables = tables_for(nodes.count(), threshold, 64)
+    facts = nodes.agg(F.count("*").alias("rows"), F.max("d").alias("d")).first()
+    bits, tables = tables_for(facts.rows, threshold, facts.d or 1)
     keyed = stored(nodes.select("node", "d", "v").mapInArrow(_keyed(bits, tables), "node long, t short, key long"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(sizes, "key")
