@@ -224,7 +224,9 @@ for _n in (1, 2):
     _rouge(_n)
 
 
-@query("rouge_l")
+@query("rouge_l", f"""WITH RECURSIVE {_SQL_PAIRS}, d AS (SELECT item_id, r, h, 0 AS i, list_transform(range(len(h) + 1), lambda x: 0::BIGINT) AS best FROM p UNION ALL
+    SELECT item_id, r, h, i + 1, list_transform(c, lambda x, j: list_max(c[1:j])) FROM (SELECT item_id, r, h, i, list_transform(best, lambda x, j: CASE WHEN j > 1 AND h[j - 1] = r[i + 1] THEN greatest(x, best[j - 1] + 1) ELSE x END) AS c FROM d WHERE i < len(r)))
+    SELECT item_id, round(coalesce(2 * best[len(h) + 1] / nullif(len(r) + len(h), 0), 0), 6)::DOUBLE AS rouge_l FROM d WHERE i = len(r)""")
 def rouge_l(spark, sf):
     return textmetrics.rouge_l(_pairs(spark, sf), "item_id", "text", "said")
 

@@ -2,9 +2,12 @@
 
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomwright.operators import graphs, summaries, textmetrics
+from loomwright.plans import more, registry
 
 
 def _words(text):
@@ -64,3 +67,8 @@ def test_area_of_a_known_frontier(spark):
     points = spark.createDataFrame([(1.0, 0.5), (3.0, 0.7), (5.0, 0.9)], "c double, q double")
     assert summaries.pareto_area(points, "c", "q").first().area == 2.8
     assert summaries.overlap_share(F.lit(0.0), F.lit(2.0), F.lit(1.0), F.lit(4.0)) is not None
+
+
+@pytest.mark.parametrize("name", sorted(n for n, plan in registry.queries().items() if plan.__module__ == more.__name__))
+def test_further_queries_are_their_sql(name, same):
+    same(name)
