@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def binned(df: DataFrame, group: str, value: str, is_current: Column, joint: bool, bins: int = 10) -> DataFrame:
     """Shares p (reference) and q (current) of equal-width bins over the reference's or the joint range, a row per group and bin."""
@@ -30,10 +32,8 @@ def hellinger(bins: DataFrame, group: str) -> DataFrame:
 def ks(df: DataFrame, group: str, value: str, is_current: Column) -> DataFrame:
     """Largest distance of the two distribution functions; equal values are counted before they are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.sum((~is_current).cast("int")).alias("a"), F.sum(is_current.cast("int")).alias("b"))
-    by = Window.partitionBy(group)
-    upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(by) - F.sum("b").over(upto) / F.sum("b").over(by))
-    return counts.select(group, gap.alias("gap")).groupBy(group).agg(F.round(F.max("gap"), 6).alias("ks"))
+    gap = F.abs(F.col("upto_a") / F.col("all_a") - F.col("upto_b") / F.col("all_b"))
+    return running(counts, [group], value, ["a", "b"]).select(group, gap.alias("gap")).groupBy(group).agg(F.round(F.max("gap"), 6).alias("ks"))
 
 
 def cohen_kappa(df: DataFrame, group: str, a: str, b: str) -> DataFrame:

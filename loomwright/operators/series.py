@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def seconds(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
@@ -13,10 +15,9 @@ def seconds(ts: str) -> Column:
 def nearest_rank(df: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """sorted[floor(n * p)] of each group, the last value beyond. Equal values are counted before they are ordered."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*group)
-    ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(by))
-    at = {name: F.least(F.floor(F.col("total") * p), F.col("total") - 1) for name, p in points.items()}
-    return ranked.groupBy(*group).agg(F.max("total").alias("n"), *(F.min(F.when(F.col("upto") > i, F.col(value))).alias(name) for name, i in at.items()))
+    ranked = running(counts, group, value, ["n"])
+    at = {name: F.least(F.floor(F.col("all_n") * p), F.col("all_n") - 1) for name, p in points.items()}
+    return ranked.groupBy(*group).agg(F.max("all_n").alias("n"), *(F.min(F.when(F.col("upto_n") > i, F.col(value))).alias(name) for name, i in at.items()))
 
 
 def trend(df: DataFrame, group: str, ts: str, value: str, width: int) -> DataFrame:

@@ -51,6 +51,9 @@ def verbs(df: DataFrame) -> DataFrame:
 
 
 def write_store(df: DataFrame, path: str, partition: list[str], mode: str = "append") -> None:
+    """The rows in a folder per partition value; a null or empty value of a string column goes to `unknown`."""
+    texts = [c for c in partition if dict(df.dtypes)[c] == "string"]
+    df = df.withColumns({c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "unknown").otherwise(F.col(c)) for c in texts})
     df.write.mode(mode).partitionBy(*partition).option("compression", "zstd").parquet(path)
 
 

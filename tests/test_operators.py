@@ -1,9 +1,12 @@
 """Small cases with known results."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions import text
-from loomwright.operators import changes, measures, select, series
+from loomwright.operators import changes, measures, ranges, select, series, vectors
+from loomwright.sources import tables
 
 
 def test_islands_tie_with_the_running_end_opens_a_new_set(spark):
@@ -77,3 +80,42 @@ def test_relations_of_all_days(spark, tmp_path):
     spark.createDataFrame(stamps, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     found = registry.queries()["interval_relations_all"](spark, str(tmp_path)).collect()
     assert {(r.a, r.b): r.relation for r in found} == {(1, 2): "OVERLAPS", (1, 3): "BEFORE", (2, 3): "BEFORE"}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("metric", ["cosine", "inner", "l2"])
+def test_top_k_on_odd_vectors(spark, monkeypatch, metric, shuffled):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1000)
+    if shuffled:
+        monkeypatch.setattr(vectors, "MOST_BROADCAST", 0)
+    draw = np.random.default_rng(1)
+    rows = [(i, draw.integers(-3, 4, 5 if i % 7 else 3).astype(float).tolist()) for i in range(120)]
+    rows += [(None, [1.0] * 5), (400, None), (401, []), (402, [0.0] * 5), (403, [float("nan")] * 5), (404, [None] * 5), (7, [1.0] * 5)]
+    fine = [(i, np.array(v)) for i, v in rows if i is not None and v and all(x is not None and x == x for x in v) and (metric != "cosine" or any(v))]
+    score = {"cosine": lambda q, v: q @ v / np.linalg.norm(q) / np.linalg.norm(v), "inner": lambda q, v: q @ v, "l2": lambda q, v: -np.linalg.norm(q - v)}[metric]
+    want = {}
+    for i, q in fine:
+        if i % 50 == 0:
+            others = sorted((-round(float(score(q, v)), 6), j) for j, v in fine if j != i and len(v) == len(q))
+            want |= {(i, rank): (j, -s + 0.0) for rank, (s, j) in enumerate(others[:5], 1)}
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = vectors.top_k(df, df.where("id % 50 = 0"), "id", "v", 5, metric).collect()
+    assert {(r.query, r["rank"]): (r.id, r.score + 0.0) for r in found} == want
+    assert vectors.top_k(df, df.where("false"), "id", "v", 5, metric).count() == 0
+
+
+def test_running_sums_of_one_large_group(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 < 9, "hot").alias("g"), (F.col("id") * 7919 % 5000).cast("double").alias("v"), (F.col("id") % 5).alias("n"))
+    found = ranges.running(rows, ["g"], "v", ["n"]).collect()
+    for g in ("hot", None):
+        upto = 0
+        for r in sorted((r for r in found if r.g == g), key=lambda r: r.v):
+            upto += r.n
+            assert r.upto_n == upto
+        assert {r.all_n for r in found if r.g == g} == {upto}
+    assert len(found) == 5000
+
+
+def test_null_partition_is_unknown(spark, tmp_path):
+    tables.write_store(spark.createDataFrame([(1, None), (2, ""), (3, "a")], "id int, source string"), str(tmp_path / "s"), ["source"])
+    assert {(r.id, r.source) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {(1, "unknown"), (2, "unknown"), (3, "a")}
