@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import graphs, summaries, textmetrics
+from loomwright.operators import graphs, quality, summaries, textmetrics
 from loomwright.plans import more, registry
 
 
@@ -72,3 +73,31 @@ def test_area_of_a_known_frontier(spark):
 @pytest.mark.parametrize("name", sorted(n for n, plan in registry.queries().items() if plan.__module__ == more.__name__))
 def test_further_queries_are_their_sql(name, same):
     same(name)
+
+
+def test_temporal_consistency_by_hand(spark):
+    rows = [("one", 1, 0.0, 1.0, "a")] + [("odd", i, s, e, a) for i, (s, e, a) in enumerate([(0, 10, "x"), (5, 6, "x"), (20, 90, "x"), (30, 31, None), (100, 101, "y")])]
+    found = quality.temporal_consistency(spark.createDataFrame([(g, i, float(s), float(e), a) for g, i, s, e, a in rows], "g string, i int, s double, e double, a string"), "g", "i", "s", "e", "a")
+    assert {(r.g, r.segments, r.overlaps, r.large_gaps, r.uneven_actions, r.score) for r in found.collect()} == {("one", 1, 0, 0, 0, 0.7), ("odd", 5, 2, 2, 1, 0.69)}
+
+
+def test_quality_on_empty_tables_and_nulls(spark):
+    empty = spark.createDataFrame([], "g string, t string, v string")
+    assert [tuple(r) for r in quality.dataset_quality(empty, "g", "t", "v").collect()] == [(0, 0.0, 0.0, 0, 0.0, 0.0, 0.0)]
+    assert quality.vocabulary(empty, "t", "v").first().total_words == 0
+    rows = spark.createDataFrame([("a", None, None), ("a", "x y", "cut"), ("b", "", "cut")], "g string, t string, v string")
+    assert tuple(quality.dataset_quality(rows, "g", "t", "v").first()) == (2, 1.5, 1.0, 2, 0.5, 0.0, 0.375)
+    assert quality.token_iou(rows, "t", "v").first().score == 0.0
+
+
+def test_k_center_by_brute_force(spark):
+    rows = [(i, [float((i * 37) % 11 - 5), float((i * 53) % 13 - 6), float(i % 3)]) for i in range(40)] + [(99, None)]
+    unit = {i: np.array(v) / (np.linalg.norm(v) + 1e-8) for i, v in rows if v}
+    chosen = [max(unit, key=lambda i: (round(float(np.linalg.norm(rows[i][1])), 9), -i))]
+    while len(chosen) < 6:
+        far = {i: round(min(float(np.linalg.norm(unit[i] - unit[c])) for c in chosen), 9) for i in unit if i not in chosen}
+        chosen.append(max(far, key=lambda i: (far[i], -i)))
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert [r.id for r in quality.k_center(df, "id", "v", 6).orderBy("rank").collect()] == chosen
+    assert quality.k_center(df.where("id < 2"), "id", "v", 6).count() == 2
+    assert quality.k_center(df.where("false"), "id", "v", 6).count() == 0
