@@ -55,9 +55,9 @@ def temporal_consistency(df: DataFrame, item: str, key: str, start: str, end: st
     rows = df.select(item, action, F.col(start).alias("__a"), F.col(end).alias("__b"), after.alias("__next"))
     length = F.col("__b") - F.col("__a")
     # rows are grouped by item and action first, so one item's window is its only pass over single rows
-    kinds = rows.groupBy(item, action).agg(F.count("*").alias("n"), F.sum((F.col("__b") > F.col("__next")).cast("int")).alias("o"), F.sum((F.col("__next") - F.col("__b") > 5.0).cast("int")).alias("g"), F.stddev_samp(length).alias("s"), F.avg(length).alias("m"))
-    uneven = F.coalesce((F.col("n") >= 3) & (F.col("m") > 0) & (F.col("s") / F.col("m") > 0.5), F.lit(False)) & F.col(action).isNotNull()
-    out = kinds.groupBy(item).agg(F.sum("n").alias("segments"), F.coalesce(F.sum("o"), F.lit(0)).alias("overlaps"), F.coalesce(F.sum("g"), F.lit(0)).alias("large_gaps"), F.sum(uneven.cast("int")).alias("uneven_actions"))
+    kinds = rows.groupBy(item, action).agg(F.count("*").alias("__n"), F.sum((F.col("__b") > F.col("__next")).cast("int")).alias("__o"), F.sum((F.col("__next") - F.col("__b") > 5.0).cast("int")).alias("__g"), F.stddev_samp(length).alias("__s"), F.avg(length).alias("__m"))
+    uneven = F.coalesce((F.col("__n") >= 3) & (F.col("__m") > 0) & (F.col("__s") / F.col("__m") > 0.5), F.lit(False)) & F.col(action).isNotNull()
+    out = kinds.groupBy(item).agg(F.sum("__n").alias("segments"), F.coalesce(F.sum("__o"), F.lit(0)).alias("overlaps"), F.coalesce(F.sum("__g"), F.lit(0)).alias("large_gaps"), F.sum(uneven.cast("int")).alias("uneven_actions"))
     issues = (F.col("overlaps") > F.col("segments") * 0.5).cast("int") + (F.col("large_gaps") > F.col("segments") * 0.3).cast("int") + (F.col("uneven_actions") > 2).cast("int")
     score = F.greatest(F.lit(0.0), 1 - F.col("overlaps") * 0.05 - F.col("large_gaps") * 0.03 - F.col("uneven_actions") * 0.05 - issues * 0.1)
     return out.withColumn("score", F.round(F.when(F.col("segments") < 2, 0.7).otherwise(score), 6))
