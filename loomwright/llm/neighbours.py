@@ -4,8 +4,8 @@ A unit vector x, rotated at random, is stored as its signs s and the
 factor f = <s / sqrt(d), x>. For a unit vector y, <s / sqrt(d), y> / f is
 an unbiased estimate of <x, y>, whose error is below
 EPSILON * sqrt((1 - f^2) / (f^2 (d - 1))) with overwhelming probability.
-Vectors that share a prefix of the signs of one of many rotations meet in
-a bucket; there the estimate and its bound drop a pair or have it
+Vectors whose largest components agree after one of many rotations meet
+in a bucket; there the estimate and its bound drop a pair or have it
 computed exactly, in double precision.
 """
 
@@ -42,11 +42,42 @@ def rotation(d: int, number: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def tables_for(rows: int, threshold: float, d: int) -> tuple[int, int]:
-    """(bits of a key, tables): buckets hold a few unrelated vectors at any size, and MISS holds."""
-    bits = max(1, min(d, MOST_BITS, math.ceil(math.log2(max(rows, 2))) + 4))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(MISS) / math.log1p(-same))
+def key_bits(rows: int) -> int:
+    """Bits of a key: buckets hold a few unrelated vectors at any size."""
+    return max(1, min(MOST_BITS, math.ceil(math.log2(max(rows, 2))) + 4))
+
+
+def shape(bits: int, d: int) -> tuple[int, int]:
+    """(parts of a key, coordinates that a part looks at) for keys of about so many bits."""
+    parts = math.ceil(bits / math.log2(2 * min(d, 64)))
+    return parts, min(d, math.ceil(2 ** (bits / parts) / 2))
+
+
+@lru_cache(64)
+def tables_for(bits: int, threshold: float, d: int) -> int:
+    """Tables that keep MISS for vectors of d components.
+
+    After a random rotation the chance that a pair agrees in a part of a
+    key depends on its cosine and d alone; it is measured on random pairs
+    at the threshold, less two standard errors.
+    """
+    parts, width = shape(bits, d)
+    draw, rounds, size, same = np.random.default_rng(d), 20, 1000, 0
+    for _ in range(rounds):
+        x, z = draw.standard_normal((2, size, d))
+        x = unit(x)
+        z -= np.einsum("ij,ij->i", x, z)[:, None] * x
+        y = threshold * x + math.sqrt(1 - threshold**2) * unit(z) if d > 1 else x
+        same += int((largest(x[:, :width]) == largest(y[:, :width])).sum())
+    chance = same / (rounds * size)
+    chance = (chance - 2 * math.sqrt(chance * (1 - chance) / (rounds * size))) ** parts
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-chance))) if chance < 1 else 1
+
+
+def largest(x: np.ndarray) -> np.ndarray:
+    """The largest component of each row by size, and its sign, as one number."""
+    at = np.abs(x).argmax(axis=1)
+    return (2 * at + (x[np.arange(len(x)), at] > 0)).astype(_U)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,15 +85,15 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def keys_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Sign keys (rows x tables) of unit vectors; one rotation serves d // bits tables."""
+    """Keys (rows x tables) of unit vectors: which rotated component is largest, in several blocks; a rotation serves d // width blocks."""
     d = x.shape[1]
-    per, out = max(1, d // bits), np.empty((len(x), tables), _U)
-    weights = _U(1) << np.arange(bits, dtype=_U)
-    for t in range(0, tables, per):
-        signs = (x @ rotation(d, 1 + t // per)) > 0
-        for j in range(min(per, tables - t)):
-            part = signs[:, j * bits : (j + 1) * bits]
-            out[:, t + j] = part @ weights[: part.shape[1]]
+    parts, width = shape(bits, d)
+    per, out = d // width, np.zeros((len(x), tables), _U)
+    for block in range(parts * tables):
+        if block % per == 0:
+            turned = x @ rotation(d, 1 + block // per)
+        t, at = block // parts, block % per * width
+        out[:, t] = out[:, t] * _U(2 * width) + largest(turned[:, at : at + width])
     return out
 
 
@@ -86,7 +117,7 @@ def links_between(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return np.stack([i[good], j[good]], axis=1)
 
 
-def _keyed(bits: int, tables: int):
+def _keyed(bits: int, threshold: float):
     """Distinct vectors -> a row per table: its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +130,8 @@ def _keyed(bits: int, tables: int):
                 for d in np.unique(sizes):  # vectors of different lengths never meet
                     rows = np.flatnonzero(sizes == d)
                     x = unit(flat[(starts[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d).astype(float))
-                    keys = keys_of(x, min(bits, d), tables)
+                    tables = tables_for(bits, threshold, int(d))
+                    keys = keys_of(x, bits, tables)
                     keys = mix(keys ^ mix(np.arange(tables, dtype=_U) + (_U(d) << _U(32)))).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int16), len(rows))), pa.array(keys.ravel())], ["node", "t", "key"])
 
@@ -215,9 +247,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     every = stored(vectors.select("id", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda x: x + zero)).alias("v")).withColumn("digest", F.sha2(F.to_json(F.struct("v")), 256)), "vectors")
     usable = every.where("v is not null and id is not null")
     nodes = stored(usable.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("d", F.size("v")), "nodes")
-    facts = nodes.agg(F.count("*").alias("rows"), F.max("d").alias("d")).first()
-    bits, tables = tables_for(facts.rows, threshold, facts.d or 1)
-    keyed = stored(nodes.select("node", "d", "v").mapInArrow(_keyed(bits, tables), "node long, t short, key long"), "keys")
+    facts = nodes.agg(F.count("*").alias("rows")).first()
+    bits = key_bits(facts.rows)
+    keyed = stored(nodes.select("node", "d", "v").mapInArrow(_keyed(bits, threshold), "node long, t short, key long"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(sizes, "key")
     # small buckets are one place; of a large one each pair of parts is a place
