@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -262,6 +263,27 @@ def test_near_vectors_of_two_lengths(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == want
 
 
+def test_near_vectors_finds_planted_pairs(spark):
+    rng = np.random.default_rng(2)
+    x = neighbours.unit(rng.normal(size=(20000, 48)))
+    z = rng.normal(size=(1000, 48))
+    z = neighbours.unit(z - np.einsum("ij,ij->i", z, x[:1000])[:, None] * x[:1000])
+    cosine = np.linspace(0.901, 0.95, 1000)[:, None]
+    every = np.concatenate([x, cosine * x[:1000] + np.sqrt(1 - cosine**2) * z])
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(every)), "embedding": every.tolist()}))
+    found = neighbours.near_vectors(table).where("n_links > 0").toPandas()
+    assert (found.vec_id - found.component_id).isin([0, 20000]).all() and (found.component_id < 1000).all()
+    assert found.component_id.nunique() >= 998 and len(found) == 2 * found.component_id.nunique()
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 7, 64, 200])
+def test_keys_of_any_length(d):
+    x = neighbours.unit(np.random.default_rng(d).normal(size=(50, d)))
+    bits = neighbours.key_bits(50)
+    keys = neighbours.keys_of(x, bits, neighbours.tables_for(bits, 0.9, d))
+    assert (keys == neighbours.keys_of(3 * x, bits, keys.shape[1])).all() and len(np.unique(keys[:, 0])) >= min(2**d, 10) / 2
+
+
 def _base(text):
     kinds = [("assign", r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
     spans = [(m.start(), n, m.end()) for n, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m[g]) >= least]
