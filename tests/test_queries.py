@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomwright.plans import catalog, models, more, quality, records, registry  # noqa: F401
+from loomwright.plans import catalog, models, more, quality, records, registry, reports  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
