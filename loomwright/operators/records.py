@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def of_kind(items: Column, field: str, kinds: list[str]) -> Column:
     """The array's items whose field is one of the kinds; a null array gives an empty one."""
-    kept = F.filter(items, lambda x: F.coalesce(x[field].isin(kinds), F.lit(False)))
-    return F.when(items.isNull(), F.filter(items, lambda x: F.lit(False))).otherwise(kept)
+    return F.filter(F.coalesce(items, F.array()), lambda x: F.coalesce(x[field].isin(kinds), F.lit(False)))
 
 
 def inner(items: Column, field: str) -> Column:
