@@ -89,4 +89,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, digest, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
         FROM whole LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
     """,
+    "op11_line_dedup": f"""
+        WITH l AS (
+            SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        k AS (SELECT *, {_lower("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+        shared AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        f AS (SELECT doc_id, line, i, key IN (SELECT key FROM shared) AS gone FROM k),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS island FROM f),
+        runs AS (SELECT doc_id, island, min(i) - 1 AS s, max(i) AS e FROM g WHERE gone GROUP BY doc_id, island),
+        maps AS (
+            SELECT doc_id, string_agg((s - p)::VARCHAR || ',' || (e - s)::VARCHAR, ',' ORDER BY s) AS keep
+            FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM runs) GROUP BY doc_id)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep) AS keep
+        FROM f LEFT JOIN maps USING (doc_id) GROUP BY doc_id
+    """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licences, minhash, neighbours, pages, secrets, suffixes, toxicity
+from . import bpe, chat, decontam, licences, lines, minhash, neighbours, pages, secrets, suffixes, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -96,6 +96,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"), count("random"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then the bitmap (null: all lines stay)."""
+    found = lines.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), F.array_join("keep", ",").alias("keep"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_prefix_targets": op2_chat_prefix_targets,
@@ -107,4 +113,5 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_line_dedup": op11_line_dedup,
 }
