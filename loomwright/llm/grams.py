@@ -45,8 +45,8 @@ def _powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
 class Words:
     """The words of several texts: byte starts and ends, the text each is in, a hash each, and words per text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-        low = LOWER[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: np.ndarray | None = LOWER):
+        low = data if lower is None else lower[data]
         inside = table[low]
         self.low, self.texts = low, len(offsets) - 1
         first, last = inside.copy(), inside.copy()

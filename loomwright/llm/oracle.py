@@ -27,6 +27,13 @@ def _known() -> str:
     return ", ".join("('{}', '{}')".format(*(part.replace("'", "''") for part in entry)) for entry in entries)
 
 
+def _crc32(x: str) -> str:
+    """The checksum of an ASCII text, a bit at a time."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {byte}), 4294967295)"
+
+
 #: From links (a, b): the smallest node that each linked node reaches.
 _COMPONENTS = """
     both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -105,4 +112,26 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep) AS keep
         FROM f LEFT JOIN maps USING (doc_id) GROUP BY doc_id
     """,
+    "op13_periodic_runs": rf"""
+        WITH h AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        p AS (SELECT *, h // 10 AS g, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),
+        d AS (SELECT doc_id, n, ws, a, 1 + (n - a) // (3 + g % 8) AS p FROM p),
+        w AS (
+            SELECT doc_id, n, i, ws[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS w
+            FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+        e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        s AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+        b AS (
+            SELECT doc_id, count(*) AS n_runs, max_by({{'s': start, 'l': length, 'p': period}}, (length, -start, -period)) AS best,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said
+            FROM r GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        c AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+            sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
 }

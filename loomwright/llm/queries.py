@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licences, lines, minhash, neighbours, pages, secrets, suffixes, toxicity
+from . import bpe, chat, decontam, licences, lines, minhash, neighbours, pages, runs, secrets, suffixes, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -102,6 +102,43 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), F.array_join("keep", ",").alias("keep"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one document of ten the words from some place on repeat with a period, both set by the id's checksum."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (3 + g % 8))
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), times)), 1, (n - a).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), tail), " "))
+
+    # a one-element array binds the words to a name, so that they are split once
+    planted = F.transform(F.array(words), repeated)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")), ["doc_id"])
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.concat(said, F.when(F.size("runs") > 0, "\n").otherwise("")).alias("said"), "collapsed")
+    start, period = -F.col("best.start"), -F.col("best.period")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        start.alias("start"),
+        F.col("best.length").alias("length"),
+        period.alias("period"),
+        F.floor(1000 * F.col("best.length") / period).cast("long").alias("exponent_milli"),
+        F.sha2("said", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_prefix_targets": op2_chat_prefix_targets,
@@ -114,4 +151,5 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_line_dedup": op11_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
