@@ -34,6 +34,20 @@ def _crc32(x: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {byte}), 4294967295)"
 
 
+def _rounds(rounds: int) -> str:
+    """CTEs c0 (cluster, i, v), then for each round a (vec, cluster, d) and the next centroids; the last a is the result's."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+        d{r} AS (SELECT vec, cluster, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{r} c USING (i) GROUP BY vec, cluster),
+        a{r} AS (SELECT vec, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d FROM d{r} GROUP BY vec)""")
+        if r < rounds:
+            out.append(f"""
+        m{r} AS (SELECT cluster, i, sum(v)::HUGEINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec) GROUP BY cluster, i),
+        c{r + 1} AS (SELECT c.cluster, c.i, coalesce((CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END)::BIGINT, c.v) AS v FROM c{r} c LEFT JOIN m{r} USING (cluster, i))""")
+    return ",".join(out)
+
+
 #: From links (a, b): the smallest node that each linked node reaches.
 _COMPONENTS = """
     both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -112,6 +126,18 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep) AS keep
         FROM f LEFT JOIN maps USING (doc_id) GROUP BY doc_id
     """,
+    "op12_centroid_clustering": f"""
+        WITH kept AS (
+            SELECT row_number() OVER () AS vec, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS xs
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+        x AS (SELECT vec, unnest(range(64)) AS i, unnest(xs) AS v FROM kept),
+        first AS (SELECT vec, row_number() OVER (ORDER BY sha256('1:' || vec_id), xs) - 1 AS cluster FROM kept QUALIFY cluster < 16),
+        c0 AS (SELECT cluster, i, v FROM x JOIN first USING (vec)),
+        {_rounds(3)},
+        said AS (SELECT cluster, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+        SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a3 JOIN kept USING (vec) JOIN said USING (cluster)
+    """,
     "op13_periodic_runs": rf"""
         WITH h AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
         p AS (SELECT *, h // 10 AS g, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),

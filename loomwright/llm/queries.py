@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licences, lines, minhash, neighbours, pages, runs, secrets, suffixes, toxicity
+from . import bpe, centroids, chat, decontam, licences, lines, minhash, neighbours, pages, runs, secrets, suffixes, toxicity
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -102,6 +102,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), F.array_join("keep", ",").alias("keep"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text; in one document of ten the words from some place on repeat with a period, both set by the id's checksum."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -151,5 +155,6 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_line_dedup": op11_line_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op13_periodic_runs": op13_periodic_runs,
 }
