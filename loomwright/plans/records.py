@@ -206,19 +206,24 @@ def _outputs(spark, sf):
     return t(spark, sf, "events").select("event_id", text.when(F.col("event_id") % 6 == 3, 'broken {"a": ').when(F.col("event_id") % 6 == 4, kind).alias("text"))
 
 
-_S, _A, _O = (p.replace("'", "''") for p in (parsing.SCENE, parsing.ACTIONS, parsing.OBJECTS))
-_SQL_SECTION = "list_filter(list_transform(list_slice(string_split(trim(regexp_extract(x, '{0}', 1), E' \\n'), {1}), 1, 10), lambda y: trim(trim(y), '- *1234567890. ')), lambda y: y <> '')"
-_SQL_PARSED = rf"""o AS ({_SQL_OUTPUTS}), f AS (SELECT event_id, coalesce(text, '') AS x FROM o),
-    j AS (SELECT *, CASE WHEN regexp_extract(x, '{parsing.FENCE}', 1) <> '' THEN regexp_extract(x, '{parsing.FENCE}', 1) ELSE regexp_extract(x, '{parsing.BRACES}', 1) END AS part FROM f),
-    k AS (SELECT *, CASE WHEN trim(x) = '' THEN 'empty_input' WHEN part LIKE '{{%' AND json_valid(part) THEN 'json_block' WHEN regexp_matches(x, '{parsing.MARKERS}') THEN 'structured_text' ELSE 'plain_text' END AS method FROM j),
-    r AS (SELECT *, CASE WHEN method = 'json_block' THEN part::JSON END AS d, {_SQL_SECTION.format(_O, "','")} AS things, list_transform({_SQL_SECTION.format(_A, "chr(10)")}, lambda y: string_split(y, ' ')) AS said FROM k),
-    s AS (SELECT event_id, x, method, d, CASE method WHEN 'json_block' THEN list_transform(coalesce(d->'$.objects[*]', []), lambda y: CASE WHEN json_type(y) = 'OBJECT' THEN coalesce(y->>'$.name', 'unknown') ELSE y->>'$' END) WHEN 'structured_text' THEN things ELSE [] END AS objects,
+# lines with the section that the last heading opened, and a document between the fence or the outermost braces
+_ITEM = "trim(trim({0}), '- *1234567890. ')"
+_SQL_PARSED = rf"""o AS ({_SQL_OUTPUTS}), f AS (SELECT event_id, coalesce(text, '') AS x, string_split(coalesce(text, ''), '```') AS cut FROM o),
+    j AS (SELECT *, CASE WHEN len(cut) >= 3 THEN regexp_replace(cut[2], '^json', '') WHEN contains(x, '{{') AND contains(x, '}}') THEN x[strpos(x, '{{'):len(x) - strpos(reverse(x), '}}') + 1] ELSE '' END AS part FROM f),
+    l AS (SELECT event_id, i, line, lower(split_part(ltrim(line), ':', 1)) AS head FROM (SELECT event_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM f)),
+    m AS (SELECT *, last_value(CASE WHEN contains(line, ':') AND head IN ('scene', 'actions', 'objects') THEN head END IGNORE NULLS) OVER (PARTITION BY event_id ORDER BY i) AS part FROM l),
+    t AS (SELECT event_id, part, trim(string_agg(CASE WHEN head = part THEN substr(ltrim(line), len(head) + 2) ELSE line END, chr(10) ORDER BY i), ' ' || chr(10)) AS said FROM m WHERE part IS NOT NULL GROUP BY ALL),
+    u AS (SELECT event_id, max(said) FILTER (part = 'scene') AS scene, max(said) FILTER (part = 'actions') AS acts, max(said) FILTER (part = 'objects') AS objs FROM t GROUP BY 1),
+    k AS (SELECT j.*, scene, acts, objs, CASE WHEN trim(x) = '' THEN 'empty_input' WHEN json_valid(j.part) AND j.part <> '' THEN 'json_block' WHEN scene IS NOT NULL OR acts IS NOT NULL OR objs IS NOT NULL THEN 'structured_text' ELSE 'plain_text' END AS method FROM j LEFT JOIN u USING (event_id)),
+    r AS (SELECT *, CASE WHEN method = 'json_block' THEN part::JSON END AS d, list_filter(list_transform(string_split(coalesce(objs, ''), ',')[:10], lambda y: {_ITEM.format("y")}), lambda y: y <> '') AS things,
+        list_transform(list_filter(list_transform(string_split(coalesce(acts, ''), chr(10))[:10], lambda y: {_ITEM.format("y")}), lambda y: y <> ''), lambda y: string_split(y, ' ')) AS said FROM k),
+    s AS (SELECT event_id, x, method, d, scene, CASE method WHEN 'json_block' THEN list_transform(coalesce(d->'$.objects[*]', []), lambda y: CASE WHEN json_type(y) = 'OBJECT' THEN coalesce(y->>'$.name', 'unknown') ELSE y->>'$' END) WHEN 'structured_text' THEN things ELSE [] END AS objects,
         CASE method WHEN 'json_block' THEN list_transform(coalesce(d->'$.actions[*]', []), lambda y: (y->>'$.verb') || ' ' || (y->>'$.noun')) WHEN 'structured_text' THEN list_transform(said, lambda w: CASE WHEN len(w) > 1 THEN w[1] || ' ' || w[-1] ELSE w[1] END) ELSE [] END AS actions,
         CASE WHEN method = 'json_block' THEN len(coalesce(d->'$.steps[*]', []))::INT ELSE 0 END AS n_qa FROM r)"""
 
 
 @query("parse_outputs", rf"""WITH {_SQL_PARSED} SELECT event_id, method, n_qa, array_to_string(objects, '|') AS objects, array_to_string(actions, '|') AS actions,
-    CASE method WHEN 'empty_input' THEN '' WHEN 'json_block' THEN coalesce(d->>'$.scene_description', d->>'$.description', d->>'$.caption', left(x, 500)) WHEN 'structured_text' THEN trim(regexp_extract(x, '{_S}', 1)) ELSE left(x, 2000) END AS description,
+    CASE method WHEN 'empty_input' THEN '' WHEN 'json_block' THEN coalesce(d->>'$.scene_description', d->>'$.description', d->>'$.caption', left(x, 500)) WHEN 'structured_text' THEN scene ELSE left(x, 2000) END AS description,
     CASE method WHEN 'empty_input' THEN 0 WHEN 'json_block' THEN round(0.3 + CASE WHEN d->>'$.scene_description' IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN n_qa > 0 THEN 0.2 ELSE 0 END + CASE WHEN len(objects) > 0 THEN 0.15 ELSE 0 END + CASE WHEN len(actions) > 0 THEN 0.15 ELSE 0 END, 2)
         WHEN 'structured_text' THEN CASE WHEN len(objects) + len(actions) > 0 THEN 0.5 ELSE 0.3 END ELSE 0.1 END::DOUBLE AS confidence FROM s""")
 def parse_outputs(spark, sf):

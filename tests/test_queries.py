@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomwright.plans import catalog, dimensions, models, more, quality, records, registry, reports  # noqa: F401
+from loomwright.plans import catalog, dimensions, models, more, networks, quality, records, registry, reports, searches  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
