@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.sources.scratch import discard as discard
+from loomwright.sources.scratch import shared_dir as shared_dir
+from loomwright.sources.scratch import stored as stored
+
 #: Bytes of text that one vectorised step inside a task works on.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. On one machine, one of our own where it is unset; a cluster must name it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="loomwright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def others(columns: list[str], *results: str) -> list[str]:
     """The named columns without those that a result replaces (names are compared as Spark does, without case)."""
     gone = {r.lower() for r in results}
@@ -39,29 +30,6 @@ def fields(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{name}` {kind}, " for name, kind in kinds.items())
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df written to the shared folder and read again.
-
-    Every executor can read the files, so a lost executor costs only the
-    stage that runs, not the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote; for intermediate tables that no later plan reads."""
-    path = getattr(df, "stored_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
-
-
 def as_text(column: str) -> F.Column:
     """The column as a string; null stays null."""
     return F.col(column).cast("string")
