@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions.stems import stemmed
 from loomwright.operators.measures import tokens
 
 
@@ -12,9 +13,12 @@ def grams(t: Column, n: int) -> Column:
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def rouge(df: DataFrame, key: str, reference: str, hypothesis: str, n: int) -> DataFrame:
-    """F measure of clipped n-gram matches; words aren't stemmed."""
-    rows = df.select(key, grams(tokens(F.col(reference)), n).alias("r"), grams(tokens(F.col(hypothesis)), n).alias("h"))
+def rouge(df: DataFrame, key: str, reference: str, hypothesis: str, n: int, stem: bool = False) -> DataFrame:
+    """F measure of clipped n-gram matches; with `stem`, of the words' Porter stems."""
+    said = df.select(key, *(tokens(F.col(c)).alias(s) for c, s in ((reference, "r"), (hypothesis, "h"))))
+    if stem:
+        said = said.withColumns({s: stemmed(F.col(s)) for s in "rh"})
+    rows = said.select(key, grams(F.col("r"), n).alias("r"), grams(F.col("h"), n).alias("h"))
     count = lambda side: rows.select(key, F.explode(side).alias("g")).groupBy(key, "g").agg(F.count("*").alias(side))
     hits = count("r").join(count("h"), [key, "g"]).groupBy(key).agg(F.sum(F.least("r", "h")).alias("hits"))
     return rows.join(hits, key, "left").select(key, F.round(F.coalesce(2 * F.col("hits") / F.nullif(F.size("r") + F.size("h"), F.lit(0)), F.lit(0.0)), 6).alias(f"rouge_{n}"))

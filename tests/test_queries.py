@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomwright.plans import catalog, dimensions, models, more, networks, quality, records, registry, reports, searches  # noqa: F401
+from loomwright.plans import catalog, dimensions, exact, models, more, networks, ordered, quality, records, registry, reports, searches  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -17,4 +17,5 @@ def test_entry(spark):
 
 
 def test_all_have_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    """But for stems, which test_text_functions.py holds against plain loops."""
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"rouge_1_stemmed"}
