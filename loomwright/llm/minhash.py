@@ -26,6 +26,10 @@ _U = np.uint64
 BANDS, ROWS = 32, 4
 #: Buckets in common from which two centres are taken for texts of one group: unlikely below a similarity of 0.4.
 SEVERAL = 2
+#: Members of a centre, and shingles that they differ from it in, that one side of a comparison has.
+PART, CELLS = 1500, 500_000
+#: Shingles that are looked at in one step.
+WIDTH = 2048
 
 
 def superminhash(elements: np.ndarray, ends: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
@@ -84,96 +88,127 @@ def _sketch(k: int, bands: int, rows: int):
     return run
 
 
-def prefixes(x: int, c: int, added: int, removed: int, percent: int) -> tuple[int, int, int]:
-    """How many of a member's first added shingles, and of its first removed ones as the one that looks up
-    and as the one that is looked up, residual_pairs() needs. x and c: set sizes of member and centre."""
-    m, q = 100 - percent, 100 + percent
-    # a linked y has at most 100 / percent as many shingles, so x and y differ in `most` shingles at most
-    most = (x + 100 * x // percent) * m // q
-    left = most - added
-    if left < 0:
-        return min(added, most + 1), 0, 0
-    looks = max(1, removed - left, -((-(added + removed) * q + (x + c - 1) * m) // (2 * q)))
-    shown = max(1, removed - left, ((added + removed) * q - (x - c) * m) // (2 * q) + 1)
-    return min(added, most + 1), max(0, removed + 1 - looks), max(0, removed + 1 - shown) if x < c else 0
-
-
 def _compare(k: int, percent: int):
-    """For pairs of a centre a and a member b: whether they are linked, the shingles that b adds to a's and
-    those of a's that it lacks, and how many of them count (prefixes)."""
+    """For pairs of a centre a and a member b: whether they are linked, b's set size, the shingles that b
+    adds to a's and those of a's that it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
             one, two = (shingle_sets(Words(*text_buffers(batch.column(c)), NOT_SPACE), k) for c in ("text_a", "text_b"))
-            linked, added, removed, counts = [], [], [], []
+            linked, size, added, removed = [], [], [], []
             for i in range(batch.num_rows):
                 x, y = one[0][one[1][i] : one[1][i + 1]], two[0][two[1][i] : two[1][i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                size.append(len(y))
                 added.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
                 removed.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
-                counts.append(prefixes(len(y), len(x), len(added[-1]), len(removed[-1]), percent))
             lists = [pa.array(c, pa.list_(pa.int64())) for c in (added, removed)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *lists, *(pa.array([c[i] for c in counts], pa.int32()) for i in range(3))], COMPARED)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), *lists], ["a", "b", "linked", "size", "added", "removed"])
 
     return run
 
 
-COMPARED = ["a", "b", "linked", "added", "removed", "most", "looks", "shown"]
-
-
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, text) of all ids in the pairs, stored. The ids grow with the table and have no proven bound, so they aren't broadcast."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     return stored(docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").distinct(), "pair-texts")
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int, columns: list[str]) -> DataFrame:
+def _compared(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) compared by their full shingle sets."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    schema = "a long, b long, linked boolean, added array<long>, removed array<long>, most int, looks int, shown int"
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), schema).select(columns), "compared")
-
-
-def _meet(members: DataFrame, shingles: str, looks: str, shown: str) -> DataFrame:
-    """Members of one centre, of different components and one of them not linked with it, that have one of
-    their first `looks` and `shown` of these shingles in common, by the number of members that have them."""
-    row = ["a", "b", "form", "component", "linked", "looks", "shown", "size"]
-    sized = members.where(F.greatest(looks, shown) > 0).withColumn("size", F.size(shingles)).withColumn("all", F.col(shingles))
-    cells = stored(sized.select("a", "b", "form", "component", "linked", F.col(looks).alias("looks"), F.col(shown).alias("shown"), "size", F.explode("all").alias("shingle")), "differences")
-    often = cells.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = cells.join(often, ["a", "shingle"]).groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("ranked"))
-    # those of one member alone come before all that are ranked
-    first = lambda n: F.slice("ranked.shingle", F.lit(1), F.greatest(F.lit(0), F.col(n) - F.col("size") + F.size("ranked")))
-    lists = stored(ranked.select("a", "b", "component", "linked", first("looks").alias("looks"), first("shown").alias("shown")), "ranked")
-    odd = lists.where("not linked").select("a", F.col("b").alias("x"), F.col("component").alias("group_x"), F.explode("looks").alias("shingle"))
-    every = lists.select("a", F.col("b").alias("y"), F.col("component").alias("group_y"), F.explode("shown").alias("shingle"))
-    return odd.join(every, ["a", "shingle"]).where("x <> y and group_x <> group_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def residual_pairs(compared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of members of one centre that may be linked though one of them is not linked with the centre.
-
-    Let A(x) be the shingles that x adds to centre c's and R(x) those of c's that it lacks, and
-    t = (100 + percent) / (100 - percent). x and y are linked if and only if
-    |A(x) ^ A(y)| + |R(x) ^ R(y)| <= (|x| + |y|) / t; x is not linked with c, so |A(x)| + |R(x)| > (|x| + |c|) / t.
-    If A(x) and A(y) have nothing in common, both together give
-    |A(x)| + |R(x)| <= |A(x)| + |R(x) ^ R(y)| + |R(y)| <= (|x| + |y|) / t - (|y| - |c|), so y is smaller than c.
-    Linked members thus share an added shingle, or one of them is smaller than c and they share over
-    (|A(y)| + |R(y)| - (|y| - |c|) / t) / 2 of the shingles that both lack.
-
-    What members add is seldom added by many. What they lack is from one set and meets by chance, but only
-    members smaller than c show it. In one order of all shingles, the ones of fewest members first, the first
-    few of each (prefixes) have one in common, and most of the first belong to one member alone and meet nothing.
-    Members of one group are left out, and so are centres whose members are all in one.
+    schema = "a long, b long, linked boolean, size long, added array<long>, removed array<long>"
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, percent), schema), "compared")
+
+
+def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of the first list shares with each of the second; no array repeats a value."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    flat = [np.concatenate(side) if side else np.zeros(0, np.int64) for side in (one, two)]
+    # values of one side alone are shared by nobody
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    cells = []
+    for side, values in zip((one, two), flat, strict=True):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(shared, values)
+        met = at < len(shared)
+        met[met] = shared[at[met]] == values[met]
+        row, at = row[met], at[met]
+        order = np.argsort(at, kind="stable")
+        cells.append((row[order], at[order]))
+    for low in range(0, len(shared), WIDTH):
+        held = []
+        for side, (row, at) in zip((one, two), cells, strict=True):
+            i, j = np.searchsorted(at, [low, low + WIDTH])
+            block = np.zeros((len(side), min(WIDTH, len(shared) - low)), np.float32)
+            block[row[i:j], at[i:j] - low] = 1
+            held.append(block)
+        out += held[0] @ held[1].T
+    return out
+
+
+def linked_parts(one: dict, two: dict, percent: int) -> list[tuple[int, int]]:
+    """A forest of what the links between two lists of a centre's members connect, as (node, a smaller node).
+
+    x and y differ in the shingles that one of them adds to the centre's and the other doesn't, and in
+    those that one lacks and the other doesn't, so their difference d is known without their texts, and
+    they are linked if and only if (100 + percent) * d <= (100 - percent) * (|x| + |y|).
+    """
+    same = _common(one["added"], two["added"]) + _common(one["removed"], two["removed"])
+    apart = [np.array([len(x) + len(y) for x, y in zip(s["added"], s["removed"], strict=True)], np.int64) for s in (one, two)]
+    d = apart[0][:, None] + apart[1] - 2 * same.astype(np.int64)
+    size = one["size"][:, None] + two["size"]
+    links = ((100 + percent) * d <= (100 - percent) * size) & (one["component"][:, None] != two["component"])
+    left, right = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+    links, least = links[np.ix_(left, right)], np.iinfo(np.int64).max
+    a, b = one["node"][left], two["node"][right]
+    x, y = a.copy(), b.copy()
+    while len(left):
+        before = x.sum(dtype=object) + y.sum(dtype=object)
+        x = np.minimum(x, np.where(links, y, least).min(1))
+        y = np.minimum(y, np.where(links, x[:, None], least).min(0))
+        if x.sum(dtype=object) + y.sum(dtype=object) == before:
+            break
+    return [(int(n), int(r)) for n, r in zip([*a, *b], [*x, *y], strict=True) if n != r]
+
+
+def residual_links(compared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between members of one centre of which one at least is not linked with it, as far as they join components.
+
+    Members are dealt to parts of about PART rows or CELLS differences, those that aren't linked with the
+    centre and the others apart. Each part of the former meets each part by itself, in a task that
+    compares all their members at once by what they differ from the centre in and returns a forest, so
+    rows stay near the number of members times their parts, however many pairs are linked or nearly so.
+    Centres whose members are all in one component are left out, and so are pairs inside a component.
+    Rows that repeat an id with another text are compared each.
     """
     group = groups.select(F.col("node").alias("b"), "component")
     named = compared.join(group, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    apart = named.groupBy("a").agg(F.bool_or(~F.col("linked")).alias("odd"), F.min("component").alias("low"), F.max("component").alias("high")).where("odd and low < high").select("a")
-    # rows that repeat an id with another text are told apart by their differences
-    members = stored(named.join(apart, "a", "left_semi").withColumn("form", F.xxhash64("added", "removed")), "members")
-    return _meet(members, "added", "most", "most").union(_meet(members, "removed", "looks", "shown")).distinct()
+    cells = F.size("added") + F.size("removed")
+    deal = lambda c: F.ceil(F.greatest(F.count_if(c) / PART, F.sum(F.when(c, cells).otherwise(0)) / CELLS)).cast("int")
+    facts = named.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), deal(~F.col("linked")).alias("odd"), deal(F.col("linked")).alias("even")).where("odd > 0 and low < high")
+    members = named.join(facts.select("a", "odd", "even"), "a")
+    mine = F.pmod(F.xxhash64("b", "added"), F.when(F.col("linked"), F.col("even")).otherwise(F.col("odd"))).cast("int")
+    members = members.withColumn("part", F.when(F.col("linked"), F.col("odd") + mine).otherwise(mine))
+    # (i, j): part i of those that aren't linked and part j of all, not before it
+    meets = F.when(F.col("linked"), F.transform(F.sequence(F.lit(0), F.col("odd") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"))))
+    every = F.transform(F.sequence(F.lit(0), F.col("odd") + F.col("even") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+    dealt = members.select("a", "b", "component", "size", "added", "removed", "part", F.explode(F.coalesce(meets, every)).alias("m"))
+    dealt = dealt.select("a", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "b", "component", "size", "added", "removed", "part")
+
+    def meet(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        sides = []
+        for side in (table.column("i")[0].as_py(), table.column("j")[0].as_py()):
+            rows = table.filter(pa.array(part == side))
+            lists = {c: [np.asarray(x.values) for x in rows.column(c)] for c in ("added", "removed")}
+            sides.append(lists | {"node": rows.column("b").to_numpy(), "component": rows.column("component").to_numpy(), "size": rows.column("size").to_numpy()})
+        found = linked_parts(*sides, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -194,8 +229,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centre, the member that shares most buckets with others, or that
     member's own centre, and every member is compared with it, so a group
     of copies costs one comparison a member and not one a pair. Members
-    that are not linked with their centre are then compared with those
-    that share their edits (residual_pairs), which loses no link inside a
+    that are not linked with their centre are then compared with all
+    others of it, in parts (residual_links), which loses no link inside a
     bucket.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -217,13 +252,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = met.join(roots, "centre", "left").select(F.coalesce("root", "centre").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     stars = stored(stars, "stars")
     texts = _texts(docs, stars)
-    first = _compared(texts, stars, k, percent, COMPARED)
+    first = _compared(texts, stars, k, percent)
     links = first.where("linked").select("a", "b")
     part = stored(connected_components(links, "a", "b"), "groups")
-    residual = stored(residual_pairs(first, part), "residual")
-    second = _compared(texts, residual, k, percent, ["a", "b", "linked"])
-    groups = connected_components(links.union(second.where("linked").select("a", "b")).union(copies), "a", "b")
-    for used in (reps, shared, met, stars, texts, first, part, residual, second):
+    residual = stored(residual_links(first, part, percent), "residual")
+    groups = connected_components(links.union(residual).union(copies), "a", "b")
+    for used in (reps, shared, met, stars, texts, first, part, residual):
         discard(used)
     out = every.select("id", "n").join(groups, every["id"] == groups["node"], "left")
     component = F.coalesce("component", "id")

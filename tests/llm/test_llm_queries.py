@@ -112,27 +112,52 @@ def test_one_large_family_of_edits_costs_few_pairs(spark, monkeypatch):
     both, size = held @ held.T, held.sum(axis=1)
     a, b = np.nonzero(100 * both >= 80 * (size[:, None] + size - both))
     want = _components(range(len(texts)), zip(a.tolist(), b.tolist(), strict=True))
-    pairs = []
-    residual = minhash.residual_pairs
-    monkeypatch.setattr(minhash, "residual_pairs", lambda *x: pairs.append(residual(*x)) or pairs[-1])
+    monkeypatch.setattr(minhash, "PART", 300)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, k=5).collect()} == want
     assert len({*want.values()}) > 300  # many of them are near the others, but not linked
 
 
-def test_prefixes_never_lose_a_link():
+def _family(g, seed=1):
+    """A template of 120 words with 7 slots of 6 values."""
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"s{i}.{rng.integers(0, 6)}" if i % 17 == 8 else f"w{i}" for i in range(120)) for _ in range(g)]
+
+
+@pytest.mark.parametrize("g,part", [(300, 1500), (600, 100), (1200, 1500)])
+def test_templates_cost_few_rows(spark, monkeypatch, g, part):
+    """Most members are near the centre and each other, few are linked: what is returned stays below three rows a member and part (a member can have several centres)."""
+    texts = _family(g)
+    sets = [_sets(t, 4) for t in texts]
+    names = {x: i for i, x in enumerate({x for s in sets for x in s})}
+    held = np.zeros((g, len(names)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [names[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    a, b = np.nonzero(100 * both >= 80 * (size[:, None] + size - both))
+    want = _components(range(g), zip(a.tolist(), b.tolist(), strict=True))
+    found, plain = [], minhash.residual_links
+    monkeypatch.setattr(minhash, "PART", part)
+    monkeypatch.setattr(minhash, "residual_links", lambda *x: found.append(plain(*x).cache()) or found[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, k=4).collect()} == want
+    assert 0 < found[0].count() <= 3 * g * -(-g // part)
+
+
+def test_parts_find_all_links():
+    """Against plain sets: members that add to and lack from a centre of 30."""
     rng = np.random.default_rng(6)
-    for _ in range(20000):
+    for _ in range(60):
         c = set(range(30))
-        x, y = ((c - set(rng.choice(30, rng.integers(0, 12)).tolist())) | set(rng.integers(30, 60, rng.integers(0, 9)).tolist()) for _ in range(2))
-        if rng.random() < 0.7:
-            y = (x - set(rng.choice(60, 4).tolist())) | set(rng.integers(0, 60, rng.integers(0, 4)).tolist())
-        linked = lambda s, t: 5 * len(s & t) >= 4 * len(s | t)
-        if not x or not y or x == y or not linked(x, y) or linked(x, c):
-            continue
-        (most_x, looks, _), (most_y, _, shown) = (minhash.prefixes(len(s), 30, len(s - c), len(c - s), 80) for s in (x, y))
-        added = set(sorted(x - c)[:most_x]) & set(sorted(y - c)[:most_y])
-        assert added or set(sorted(c - x)[:looks]) & set(sorted(c - y)[:shown])
+        sets = [(c - set(rng.choice(30, rng.integers(0, 12)).tolist())) | set(rng.integers(30, 60, rng.integers(0, 9)).tolist()) for _ in range(40)]
+        node = rng.permutation(1000)[:40]
+        component = np.where(rng.random(40) < 0.3, 7, node)
+        arrays = lambda xs: [np.array(sorted(x), np.int64) for x in xs]
+        side = lambda at: {"added": arrays(sets[i] - c for i in at), "removed": arrays(c - sets[i] for i in at), "size": np.array([len(sets[i]) for i in at]), "node": node[at], "component": component[at]}
+        one, two = np.arange(0, 25), np.arange(10, 40)
+        found = minhash.linked_parts(side(one), side(two), 80)
+        links = [(int(node[i]), int(node[j])) for i in one for j in two if component[i] != component[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        assert _components(node.tolist(), found) == _components(node.tolist(), links)
 
 
 def test_repeats_by_brute_force(spark, monkeypatch):
