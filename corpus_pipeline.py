@@ -45,11 +45,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The row with the smallest id, then key, of each near-duplicate group, by five-word shingles at a similarity of 0.8; one of rows with equal id and text."""
     # rows are told apart by id and text, so that a text isn't dropped for another that shares its id
     key = _free(docs, "key")
-    named = docs.where("doc_id is not null").withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
+    id, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
+    keys = docs.where("doc_id is not null").select(F.xxhash64(id, text).alias("key"), F.xxhash64(F.lit("row"), id, text).alias("other"))
+    # a key of 64 bits that different rows have names none of them: these few stay
+    clash = stored(keys.groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select(F.col("key").alias(key)), "clashing-keys")
+    keyed = docs.withColumn(key, F.when(id.isNotNull(), F.xxhash64(id, text)))
+    named = keyed.where("doc_id is not null").join(clash, key, "left_anti")
+    passed = keyed.join(clash, key, "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
     groups = minhash.near_duplicates(named, key, k=5, percent=80).select(F.col(key).alias("key"), "component_id").distinct()
     members = named.select(F.col(key).alias("key"), "doc_id").join(groups, "key")
     kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.key").alias(key))
-    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns).union(docs.where("doc_id is null"))
+    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns).union(passed)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
