@@ -221,6 +221,66 @@ def test_pages_with_layout_classes_and_leads():
     assert pages.extract(post, pages.best_path(post)[0]) == pages.extract(post, None)
 
 
+TEXT = "A sentence of the main text that goes on for a while. " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><h1>T</h1><p>{TEXT}</p><h2 class="section-header">Second part</h2><p>End.</p></article>', f"T\n{TEXT.strip()}\nSecond part\nEnd."),
+        (f'<article><p>{TEXT}</p><section class="related-work"><p>Others did it.</p></section></article>', f"{TEXT.strip()}\nOthers did it."),
+        (f'<article><p>{TEXT}</p><p class="legal">By law.</p></article>', f"{TEXT.strip()}\nBy law."),
+        (f'<article><p>{TEXT}</p><blockquote class="comment">As they say.</blockquote></article>', f"{TEXT.strip()}\nAs they say."),
+        (f'<article><p>{TEXT}</p><table class="form-table"><tr><td>cell</table></article>', f"{TEXT.strip()}\ncell"),
+        (f"<article><p>{TEXT}</p><aside>A word aside.</aside></article>", f"{TEXT.strip()}\nA word aside."),
+        (f'<article><p>{TEXT}</p><aside><a href=x>More about this</a></aside><div class="share">Share</div></article>', TEXT.strip()),
+        (f'<div class="page-header"><h1>Title</h1></div><div class="entry"><p>{TEXT}</p></div>', f"Title\n{TEXT.strip()}"),
+        (f'<div class="site-header"><h1>The Site</h1></div><div class="entry"><h2>Title</h2><p>{TEXT}</p></div>', f"Title\n{TEXT.strip()}"),
+        (f'<div class=story><p>{TEXT}</p></div><div class="comments"><p>{TEXT * 3}</p></div>', TEXT.strip()),
+        (f'<article><p>{TEXT}</p><section id="comments"><article class="comment"><p>{TEXT * 3}</p></article></section></article>', TEXT.strip()),
+        (f'<div class=post><p>{TEXT}</p><ol class="commentlist"><li><p>{TEXT * 9}</p></ol></div>', TEXT.strip()),
+        (f'<div id="page" class="comments-open hidden-sidebar"><article><p>{TEXT}</p></article></div>', TEXT.strip()),
+    ],
+)
+def test_pages_keep_what_an_article_holds(page, want):
+    """Whatever else is on the page: alone, and with other parts around it."""
+    assert pages.extract(f"<body>{page}</body>", None) == want
+    around = "<nav><a href=x>Home</a></nav>{}<div class=sidebar><p>Some words beside the text.</p></div><footer>foot</footer>"
+    assert pages.extract(f"<body>{around.format(page)}</body>", None) == want
+
+
+def test_hosts_say_what_an_area_is(spark):
+    """The same element is furniture where its text repeats on the host's pages, and content where it differs; on one host with titles in their headers."""
+    rows = []
+    for n in range(6):
+        text = f"Sentence {n} of the text that goes on for a while, and then some more of it. " * 6
+        note, tip = "Read our terms before you use this.", f"Tip {n}: look at the numbers again."
+        rows.append((n, f"http://a.example/{n}", f'<body><h1 class=x>Site</h1><article><p>{text}</p><aside>{note}</aside><div class="alert">{tip}</div></article></body>', f"{text.strip()}\n{tip}"))
+        rows.append((10 + n, f"http://b.example/{n}", f'<body><div class="banner"><h1>Title {n}</h1></div><div class=post><p>{text}</p><div class="notice">{tip}</div><div class="alert">{note}</div><div class="sidebar">Side {n}</div></div></body>', f"Title {n}\n{text.strip()}\n{tip}"))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    for most in (20_000, 0):  # the hosts' paths broadcast, and by a shuffle
+        before, pages.MOST_BROADCAST = pages.MOST_BROADCAST, most
+        try:
+            found = {r.page_id: r.text for r in pages.main_text(df, ["page_id"]).collect()}
+        finally:
+            pages.MOST_BROADCAST = before
+        assert found == {r[0]: r[3] for r in rows}
+    assert pages.main_text(df.limit(0), ["page_id"]).collect() == []
+    twice = pages.main_text(df.union(df), ["page_id"]).collect()
+    assert sorted((r.page_id, r.text) for r in twice) == sorted((r[0], r[3]) for r in rows * 2)
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        start = time.perf_counter()
+        assert pages.extract("<body><p>text</p>" + "<svg>" * n + "<script>" * n, None) == "text"
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_pages_of_the_table(spark):
     import html
 
