@@ -3,7 +3,11 @@
 Words and identifiers take few tokens of a trained vocabulary for their
 length; random strings take nearly one a character or two. A run of
 secret-like characters whose characters per token stay below a threshold
-is reported, unless it is a digest of a usual length or an identifier.
+is reported, unless it is a digest that the text names or an identifier.
+
+Whether a run is an identifier is judged by its parts between marks: words
+by their own ratio, short words, numbers, and words with a short number.
+Runs of fewer than 16 characters are never tested.
 """
 
 from __future__ import annotations
@@ -33,16 +37,18 @@ STRING = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9+/_.=-]+"  # numbers, dates, rules
-    r"|[A-Za-z_.-]*[A-Za-z]{4,}[A-Za-z0-9]*\.[a-z]{1,5}"  # file names
+    r"|[0-9+/_-]+"  # numbers, dates, rules
 )
 #: What stands before a digest that the text names.
 NAMED = re.compile(r"(?ai:(?<![a-z0-9])(?:md5|sha[-_]?(?:1|2|224|256|384|512)|digest|checksum|hash|commit|etag|fingerprint)(?:sum)?[^a-z0-9\n]{1,4}\Z)")
 #: Digests of nothing.
 WELL_KNOWN = {hashlib.new(n).hexdigest() for n in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
-#: Letters joined by marks, with a short number: an identifier if each part is a word.
-JOINED = re.compile(r"[A-Za-z]+(?:[_+/-]+[A-Za-z]+)+\d{0,4}[_+/-]*")
-PART = re.compile(r"[A-Za-z]+")
+#: A time in the basic or extended form of ISO 8601, behind its date.
+TIME = re.compile(r"(?<=[0-9])T[0-9]{2}[-_]?[0-9]{2}(?:[-_]?[0-9]{2})?Z?(?![A-Za-z0-9])")
+#: A part between marks: letters or a number with at most a few of the other kind at its end.
+PART = re.compile(r"(?:([A-Za-z]+)[0-9]{0,4}|[0-9]{1,14}|[0-9]{1,4}[A-Za-z]{1,2})")
+#: Words of a part: capitals, or small letters with at most one capital before them.
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Fewer characters than this for each token are taken for random; words have three and more, random base64 1.3 to 1.7.
 LEAST_RATIO = 1.9
 
@@ -61,9 +67,28 @@ def _candidate(text: str, a: int, b: int) -> bool:
     return not IDENTIFIER.fullmatch(run)
 
 
-def parts_of(run: str) -> list[str]:
-    """The parts of a run that may be an identifier of several words, else none."""
-    return PART.findall(run) if JOINED.fullmatch(run) else []
+def parts_of(run: str) -> list[str] | None:
+    """The words that must be words for a run to be an identifier, in small letters; None if it can't be one.
+
+    Words of up to three letters are none to be judged, if marks, numbers or
+    the run's ends are around them; letters in the order of the alphabet are
+    no random string.
+    """
+    words = []
+    for part in re.split("[+/_-]+", TIME.sub("", run)):
+        found = PART.fullmatch(part) if part else None
+        if part and not found:
+            return None
+        letters = found[1] if found else None
+        if not letters or len(letters) < 4:
+            continue
+        for word in WORD.findall(letters):
+            low = word.lower()
+            if len(low) < 3:
+                return None
+            if any(ord(y) - ord(x) != 1 for x, y in zip(low, low[1:], strict=False)):
+                words.append(low)
+    return words
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -91,9 +116,9 @@ def _scan(path: str, pattern: str, to: str):
             found = [find(t) for t in texts]
             words = list({t[a:b] for t, (_, runs) in zip(texts, found, strict=True) for a, b in runs})
             random = set(sparse(words))
-            parts = {w: parts_of(w) for w in random}
+            parts = {w: ps for w in random if (ps := parts_of(w)) is not None}
             broken = set(sparse(list({p for ps in parts.values() for p in ps})))
-            random -= {w for w, ps in parts.items() if ps and all(len(p) > 2 and p not in broken for p in ps)}
+            random -= {w for w, ps in parts.items() if broken.isdisjoint(ps)}
             rows = []
             for t, (spans, runs) in zip(texts, found, strict=True):
                 more = [(a, 3, b) for a, b in runs if t[a:b] in random]

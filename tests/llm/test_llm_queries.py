@@ -471,6 +471,24 @@ def test_random_strings_are_found_by_their_tokens(spark):
     assert right >= 0.98 * len(hit)
 
 
+PLAIN = """get-user-by-id-and-name-v2 com/wp-content/uploads/2020/03/IMG_20200315_123456 2024-01-15T10-22-33Z-backup-daily KLMNOPQ-1234-XX-2020
+ABCDEFGHIJKLMNOPQRSTUVWXYZ https://www.example.com/en/products/item-2023-11-07_large/v10/index http://cdn.example.org/assets/js/jquery-3-min_v2
+usr/local/share/doc/python3/html/library/os-path MAX_RETRY_COUNT_2 __init_subclass__ ubuntu-22-04-server-amd64 release_2021-03-04_rc1 20240115T102233Z_snapshot_0001
+model-2024-05-13-preview-128k chapter-12/section-03/figure-7b test_user_can_not_log_in_with_old_password PART-NO-4471-REV-B-2019 id_card_front_image_url_v3""".split()
+
+
+def test_plain_names_are_no_secrets(spark):
+    """URLs, paths, dates, versions and part numbers; and random strings of every alphabet are still found, with marks between."""
+    rng = np.random.default_rng(12)
+    secret, _ = _random_strings(rng)
+    secret += ["-".join(x[i : i + 8] for i in range(0, len(x), 8)) for x in secret if len(x) >= 32]
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(PLAIN + secret)], "doc_id long, text string")
+    found = secrets.find_secrets(rows, VOCABULARY, public_tokenizers.PATTERN, ["doc_id"])
+    hit = {r.doc_id for r in found.collect() if any(s.kind == "random" for s in r.spans)}
+    assert [PLAIN[i] for i in sorted(hit) if i < len(PLAIN)] == []
+    assert sum(i >= len(PLAIN) for i in hit) >= 0.97 * len(secret)
+
+
 def test_gradient_and_forward_pass_of_the_network():
     rng = np.random.default_rng(2)
     net = toxicity.Network(np.arange(1, 6, dtype=np.uint64), np.arange(1, 9, dtype=np.uint64), 3)
