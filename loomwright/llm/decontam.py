@@ -25,6 +25,8 @@ _U = np.uint64
 GRAM = 7
 #: Fingerprints (8 bytes each) that every task may hold; a larger benchmark goes through a shuffled join.
 MOST_BROADCAST = 250_000
+#: Items that one row of a document has beside it, about.
+BLOCK = 64
 
 
 def plan_for(length: int, window: int) -> tuple[int, int]:
@@ -99,48 +101,78 @@ def _matched(prints: np.ndarray | None, lengths: list[int], window: int):
     return run
 
 
+def _packed(words: Words) -> tuple[bytes, np.ndarray]:
+    """All words, one blank behind each, and where each starts (and the last ends): equal windows are equal slices."""
+    size = words.ends - words.starts
+    ends = np.concatenate(([0], np.cumsum(size + 1)))
+    out = np.full(int(ends[-1]), 0x20, np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    out[ends[word] + place] = words.low[words.starts[word] + place]
+    return out.tobytes(), ends
+
+
 def _extend(window: int):
+    """Which words of a document lie in windows of a block of items, as runs, and the items that have such windows.
+
+    Equal windows of an item are looked for once, and each place is one comparison of bytes.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, Words] = {}
+        read: dict[str, tuple[Words, bytes, np.ndarray]] = {}
         for batch in slices(batches, "text"):
             docs = Words(*text_buffers(batch.column("text")), LETTERS_DIGITS)
+            packed, at = _packed(docs)
             groups = batch.column("items").to_pylist()
             rows = []
             for t in range(docs.texts):
-                own = docs.hash[docs.first[t] : docs.first[t + 1]]
-                spans = list(zip(docs.starts[docs.first[t] : docs.first[t + 1]], docs.ends[docs.first[t] : docs.first[t + 1]], strict=True))
-                word = lambda i: docs.low[spans[i][0] : spans[i][1]].tobytes()  # noqa: E731, B023
+                first = int(docs.first[t])
+                own = docs.hash[first : docs.first[t + 1]]
                 hit, names = np.zeros(len(own) + 1, np.int64), []
                 sorted_by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 for item in groups[t]:
                     if len(read) > 5000:
                         read.clear()
-                    if (other := read.get(item["text"])) is None:
-                        other = read[item["text"]] = Words(*text_buffers(pa.array([item["text"]])), LETTERS_DIGITS)
+                    if (known := read.get(item["text"])) is None:
+                        other = Words(*text_buffers(pa.array([item["text"]])), LETTERS_DIGITS)
+                        known = read[item["text"]] = other, *_packed(other)
+                    other, said, their = known
                     length = _spans(other, 0, window)
                     if length not in sorted_by:
                         every = grams(own, length)
                         order = np.argsort(every, kind="stable")
                         sorted_by[length] = every[order], order
                     every, order = sorted_by[length]
-                    wanted = grams(other.hash, length)
+                    wanted, where = np.unique(grams(other.hash, length), return_index=True)
                     low, high = np.searchsorted(every, wanted, "left"), np.searchsorted(every, wanted, "right")
                     found = False
                     for j in np.flatnonzero(high > low):
-                        said = [other.low[a:b].tobytes() for a, b in zip(other.starts[j : j + length], other.ends[j : j + length], strict=True)]
-                        for i in order[low[j] : high[j]]:
-                            if all(word(i + x) == said[x] for x in range(length)):
-                                hit[i] += 1
-                                hit[i + length] -= 1
-                                found = True
+                        w = said[their[where[j]] : their[where[j] + length]]
+                        places = order[low[j] : high[j]]
+                        good = [i for i, a, b in zip(places, at[first + places].tolist(), at[first + places + length].tolist(), strict=True) if packed[a:b] == w]
+                        np.add.at(hit, good, 1)
+                        np.add.at(hit, np.array(good, np.int64) + length, -1)
+                        found = found or bool(good)
                     if found:
                         names.append(item["item"])
-                rows.append((int((np.cumsum(hit[:-1]) > 0).sum()), sorted(set(names))))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["key", "n_hit", "items"])
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(hit[:-1]) > 0).astype(np.int8), [0]))))
+                rows.append(([{"start": a, "stop": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)], names))
+            runs = pa.array([r[0] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), runs, pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["key", "runs", "items"])
 
     return run
 
 
+def _covered(runs: F.Column) -> F.Column:
+    """How many numbers lie in a sorted array of runs (start, stop) that may overlap."""
+    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+
+    def take(acc: F.Column, r: F.Column) -> F.Column:
+        return F.struct(F.greatest(acc["upto"], r["stop"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0).cast("long"), r["stop"] - F.greatest(acc["upto"], r["start"]))).alias("n"))
+
+    return F.aggregate(runs, zero, take, lambda acc: acc["n"])
+
+
 def row_key(row_id: F.Column, text: F.Column) -> F.Column:
     """What tells rows of contamination() apart: a 128-bit key of a row's id and text."""
     both = (row_id.cast("string"), text.cast("string"))
@@ -175,10 +207,15 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         known, lengths = np.zeros(1, np.uint64), []
     counted = stored(docs.mapInArrow(_matched(known, lengths, window), f"id {df.schema[id_col].dataType.simpleString()}, key string, text string, n_words long, prints array<long>"), "doc-prints")
     pairs = counted.where(F.size("prints") > 0).select("key", F.explode("prints").alias("print")).join(prints.select("print", "item").distinct(), "print").select("key", "item").distinct()
-    listed = pairs.join(items.distinct(), "item").groupBy("key").agg(F.collect_list(F.struct("item", "text")).alias("items"))
+    # a document meets its items in blocks, so that no row holds the texts of all of them
+    pairs = stored(pairs, "pairs")
+    blocks = pairs.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    listed = dealt.join(items.distinct(), "item").groupBy("key", "block").agg(F.collect_list(F.struct("item", "text")).alias("items"))
     texts = counted.where("text is not null").select("key", "text").join(listed, "key")
-    hits = texts.select("key", "text", "items").mapInArrow(_extend(window), "key string, n_hit long, items array<string>").groupBy("key").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"))
-    hits = stored(hits, "hits")
+    met = texts.select("key", "text", "items").mapInArrow(_extend(window), "key string, runs array<struct<start: long, stop: long>>, items array<string>")
+    met = met.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = stored(met.select("key", _covered(F.col("runs")).alias("n_hit"), "items"), "hits")
     out = counted.select("id", "key", "n_words").join(hits, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(F.col("id").alias(id_col), "key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

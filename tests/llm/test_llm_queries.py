@@ -448,6 +448,35 @@ def test_notices_of_every_row_are_its_own(spark, monkeypatch):
     assert licences.scan(rows.limit(0), digests, ["doc_id"]).count() == 0
 
 
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    """Many items for a document, overlapping hits of several blocks, items that share a text, repetitive texts; fingerprints broadcast and shuffled."""
+    base = [f"w{i}" for i in range(120)]
+    items = [(n, " ".join(base[n % 100 : n % 100 + 14])) for n in range(160)] + [(500, "go " * 60), (501, "Go on"), (502, None), (None, "go on")]
+    docs = [(1, "x " * 20 + " ".join(base) + " y"), (2, "go " * 3000), (3, "we GO-on and go, on"), (4, None), (5, " ".join(base[:13]))]
+    docs += [docs[0]]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    want = {}
+    for i, t in docs:
+        w, hit, names = words(t), set(), set()
+        for n, said in items:
+            v = words(said)
+            size = min(13, len(v))
+            if not v or n is None:
+                continue
+            windows = {tuple(v[j : j + size]) for j in range(len(v) - size + 1)}
+            at = [j for j in range(len(w) - size + 1) if tuple(w[j : j + size]) in windows]
+            if at:
+                names.add(str(n))
+                hit.update(x for j in at for x in range(j, j + size))
+        want[i] = (len(w), len(hit), sorted(names))
+    for block, most in ((64, 250_000), (7, 0)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "MOST_BROADCAST", most)
+        found = decontam.contamination(d, b).collect()
+        assert len(found) == len(docs) and {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in found} == want
+
+
 def _random_strings(rng):
     """Labelled runs: random keys of several alphabets and lengths, and words, paths, identifiers, numbers and digests in context."""
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
