@@ -5,8 +5,11 @@ factor f = <s / sqrt(d), x>. For a unit vector y, <s / sqrt(d), y> / f is
 an unbiased estimate of <x, y>, whose error is below
 EPSILON * sqrt((1 - f^2) / (f^2 (d - 1))) with overwhelming probability.
 Vectors whose largest components agree after one of many rotations meet
-in a bucket; there the estimate and its bound drop a pair or have it
-computed exactly, in double precision.
+in a bucket. What goes to the buckets is a code of d / 8 bytes of signs,
+d / 2 bytes of rotated components in 16 steps and three numbers, made once
+for each vector. Estimates from both sides and their bounds settle nearly
+all pairs there; only members of a pair that they leave open are fetched
+with their components, by a join, and computed exactly in double precision.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ EPSILON = 5.0
 MOST_BITS = 48
 #: Members of a bucket up to which one task compares them; larger ones are dealt out as pairs of parts.
 PART = 1500
+#: Members of a bucket up to which buckets are taken many at a time.
+SMALL = 64
 
 
 @lru_cache(256)
@@ -97,22 +102,44 @@ def keys_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return out
 
 
-def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signs / sqrt(d), correction factor, rotated) of unit vectors."""
+def pack(x: np.ndarray) -> np.ndarray:
+    """Codes (rows x bytes) of unit vectors: factor, lowest component and step as 32-bit numbers, signs, components in 16 steps."""
     d = x.shape[1]
     turned = x @ rotation(d, 0)
-    signs = np.where(turned > 0, 1.0, -1.0) / math.sqrt(d)
-    return signs, np.einsum("ij,ij->i", signs, turned), turned
+    factor = np.abs(turned).sum(1) / math.sqrt(d)
+    low = turned.min(1)
+    step = np.maximum((turned.max(1) - low) / 15, 1e-12)
+    head = np.stack([factor, low, step], axis=1).astype(np.float32).view(np.uint8)
+    steps = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    steps = np.pad(steps, ((0, 0), (0, d % 2)))
+    return np.concatenate([head, np.packbits(turned > 0, axis=1), steps[:, ::2] << 4 | steps[:, 1::2]], axis=1)
+
+
+def unpack(codes: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signs / sqrt(d), components in steps, factor, step) of codes."""
+    factor, low, step = np.ascontiguousarray(codes[:, :12]).view(np.float32).T
+    signs = np.unpackbits(codes[:, 12 : 12 + -(-d // 8)], axis=1, count=d).astype(np.float32)
+    pairs = codes[:, 12 + -(-d // 8) :]
+    steps = np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(codes), -1)[:, :d]
+    return (2 * signs - 1) / np.float32(math.sqrt(d)), low[:, None] + step[:, None] * steps, np.maximum(factor, 1e-6), step
+
+
+def _margin(factor: np.ndarray, step: np.ndarray, d: int) -> np.ndarray:
+    """What the estimate by a code of that factor may lack: its own error, and that of the other's rounding (uniform in a step, EPSILON deviations)."""
+    return EPSILON * (np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(d - 1, 1)) + step / math.sqrt(12) / factor)
+
+
+def undecided(one: np.ndarray, two: np.ndarray, d: int, threshold: float) -> np.ndarray:
+    """Which pairs (rows of one, rows of two) may be linked by both sides' codes."""
+    s1, y1, f1, t1 = unpack(one, d)
+    s2, y2, f2, t2 = unpack(two, d)
+    by_one = s1 @ y2.T / f1[:, None] + _margin(f1[:, None], t2[None], d) >= threshold
+    return by_one & (y1 @ s2.T / f2[None] + _margin(f2[None], t1[:, None], d) >= threshold)
 
 
 def links_between(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Linked (row of x, row of y), found by estimates with bounds and confirmed exactly."""
-    d = x.shape[1]
-    signs, factor, _ = code(x)
-    turned = y @ rotation(d, 0)
-    bound = EPSILON * np.sqrt((1 - factor**2) / np.maximum(factor**2, 1e-12) / max(d - 1, 1))
-    estimate = (signs @ turned.T) / np.maximum(factor, 1e-12)[:, None]
-    i, j = np.nonzero(estimate + bound[:, None] >= threshold)
+    """Linked (row of x, row of y), computed exactly."""
+    i, j = np.nonzero(x @ y.T >= threshold - 1e-9)
     good = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
     return np.stack([i[good], j[good]], axis=1)
 
@@ -138,6 +165,22 @@ def _keyed(bits: int, threshold: float):
     return run
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct vectors -> their codes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            sizes, codes = part.column("d").to_numpy(), [b""] * part.num_rows
+            flat = part.column("v").flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.cumsum(sizes)))
+            for d in np.unique(sizes):
+                rows = np.flatnonzero(sizes == d)
+                made = pack(unit(flat[(starts[rows][:, None] + np.arange(d)).ravel()].reshape(-1, d).astype(float)))
+                for i, code in zip(rows.tolist(), made, strict=True):
+                    codes[i] = code.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("d"), pa.array(codes, pa.binary())], ["node", "d", "code"])
+
+
 def first_met(x: np.ndarray, pairs: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Which pairs of rows share no bucket of a table before theirs."""
     rows, at = np.unique(pairs, return_inverse=True)
@@ -152,21 +195,57 @@ def first_met(x: np.ndarray, pairs: np.ndarray, table: np.ndarray, bits: int) ->
 
 def _small_pairs(x: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
     """Linked pairs of rows that lie in one place, rows being sorted by place: all shifts, each for all places at once."""
-    d = x.shape[1]
-    signs, factor, turned = code(x)
-    bound = EPSILON * np.sqrt((1 - factor**2) / np.maximum(factor**2, 1e-12) / max(d - 1, 1))
     out, shift = [np.zeros((0, 2), np.int64)], 1
     while len(i := np.flatnonzero(place[shift:] == place[:-shift])):
         j = i + shift
-        estimate = np.einsum("ij,ij->i", signs[i], turned[j]) / np.maximum(factor[i], 1e-12)
-        near = estimate + bound[i] >= threshold
-        i, j = i[near], j[near]
         good = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
         out.append(np.stack([i[good], j[good]], axis=1))
         shift += 1
     return np.concatenate(out)
 
 
+def _open(threshold: float):
+    """Places in order -> the rows of theirs that are in a pair that the codes leave open."""
+
+    def small(codes: np.ndarray, place: np.ndarray, d: int) -> np.ndarray:
+        signs, near, factor, step = unpack(codes, d)
+        keep, shift = np.zeros(len(codes), bool), 1
+        while len(i := np.flatnonzero(place[shift:] == place[:-shift])):
+            j = i + shift
+            open_ = np.einsum("ij,ij->i", signs[i], near[j]) / factor[i] + _margin(factor[i], step[j], d) >= threshold
+            open_ &= np.einsum("ij,ij->i", near[i], signs[j]) / factor[j] + _margin(factor[j], step[i], d) >= threshold
+            keep[i[open_]] = keep[j[open_]] = True
+            shift += 1
+        return keep
+
+    def settle(rows: pa.Table) -> list[pa.RecordBatch]:
+        sizes, places, sides, crossed = (rows.column(c).to_numpy() for c in ("d", "place", "side", "cross"))
+        keep = np.zeros(rows.num_rows, bool)
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            codes = np.frombuffer(b"".join(rows.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+            place, side, cross = places[at], sides[at], crossed[at]
+            cuts = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
+            mine = np.zeros(len(at), bool)
+            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+                if q - p <= SMALL and not cross[p]:
+                    continue
+                one = two = np.arange(p, q)
+                if cross[p]:  # only pairs between the two parts
+                    one, two = one[side[p:q] == side[p]], one[side[p:q] != side[p]]
+                found = undecided(codes[one], codes[two], int(d), threshold)
+                if one is two:
+                    np.fill_diagonal(found, False)
+                mine[one[found.any(1)]] = True
+                mine[two[found.any(0)]] = True
+            few = np.repeat(np.diff(cuts) <= SMALL, np.diff(cuts)) & ~cross
+            mine[few] = small(codes[few], place[few], int(d))
+            keep[at] = mine
+        return rows.select(["place", "cross", "t", "side", "node"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return _by_place(settle)
+
+
 def _linked(threshold: float, bits: int):
     """Places in order -> rows (a, b, n): n links of node a first met here, and an edge a-b of a spanning forest of them.
 
@@ -188,7 +267,7 @@ def _linked(threshold: float, bits: int):
         some = np.flatnonzero(links)
         return node[some], np.array([roots[x] for x in node[some].tolist()], np.int64), links[some].astype(np.int64)
 
-    def settle(rows: pa.Table) -> pa.RecordBatch:
+    def settle(rows: pa.Table) -> list[pa.RecordBatch]:
         sizes, place = rows.column("d").to_numpy(), rows.column("place").to_numpy()
         out = [(np.zeros(0, np.int64),) * 3]
         lengths = np.unique(sizes)
@@ -198,9 +277,9 @@ def _linked(threshold: float, bits: int):
             x = unit(np.asarray(part.column("v").combine_chunks().flatten(), float).reshape(-1, d))
             cuts = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
             for p, q in zip(cuts[:-1], cuts[1:], strict=True):
-                if q - p > 64 or cross[p]:
+                if q - p > SMALL or cross[p]:
                     out.append(large(x[p:q], node[p:q], copies[p:q], t[p], side[p:q], cross[p]))
-            few = np.repeat(np.diff(cuts) <= 64, np.diff(cuts)) & ~cross
+            few = np.repeat(np.diff(cuts) <= SMALL, np.diff(cuts)) & ~cross
             x, node, copies, t, place = x[few], node[few], copies[few], t[few], place[few]
             if len(node):
                 found = _small_pairs(x, place, threshold)
@@ -208,7 +287,13 @@ def _linked(threshold: float, bits: int):
                 a, b = found.T
                 out += [(node[a], node[b], copies[b]), (node[b], node[a], copies[a])]
         a, b, n = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+        return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])]
+
+    return _by_place(settle)
+
+
+def _by_place(settle):
+    """settle() over rows sorted by place, whole places at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -218,14 +303,14 @@ def _linked(threshold: float, bits: int):
             place = batch.column("place").to_numpy()
             cut = int(np.flatnonzero(place == place[-1])[0])
             if held and place[0] != held[-1].column("place")[held[-1].num_rows - 1].as_py():
-                yield settle(pa.Table.from_batches(held))
+                yield from settle(pa.Table.from_batches(held))
                 held = []
             if cut:  # rows come sorted by place: all but the last place are complete
-                yield settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield from settle(pa.Table.from_batches(held))
 
     return run
 
@@ -260,8 +345,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     low, high = F.least("side", "other"), F.greatest("side", "other")
     placed = dealt.select("t", "node", "side", (F.col("size").cast("long") > PART).alias("big"), (low != high).alias("cross"), F.when(F.col("size") <= PART, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("place"))
     placed = placed.withColumn("cross", F.col("big") & F.col("cross")).drop("big")
-    rows = placed.join(nodes.select("node", "copies", "d", "v"), "node").select("place", "cross", "t", "side", "node", "copies", "d", "v")
-    found = stored(rows.repartition("place").sortWithinPartitions("place", "side", "node").mapInArrow(_linked(threshold, bits), "a long, b long, n long"), "links")
+    coded = stored(nodes.select("node", "d", "v").mapInArrow(_coded, "node long, d int, code binary"), "codes")
+    ordered = lambda rows: rows.repartition("place").sortWithinPartitions("place", "side", "node")
+    rows = placed.join(coded, "node").select("place", "cross", "t", "side", "node", "d", "code")
+    left = stored(ordered(rows).mapInArrow(_open(threshold), "place long, cross boolean, t short, side int, node long"), "open")
+    # both parts of a place come back, if only as far as they have members in open pairs
+    rows = left.join(nodes.select("node", "copies", "d", "v"), "node").select("place", "cross", "t", "side", "node", "copies", "d", "v")
+    found = stored(ordered(rows).mapInArrow(_linked(threshold, bits), "a long, b long, n long"), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     named = every.join(nodes.select("digest", "node", "copies"), "digest", "left").where("id is not null and v is not null")
     same = named.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
@@ -270,5 +360,5 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     out = every.select("id", F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(own, "digest", "left")
     out = out.join(groups, F.col("id") == F.col("member"), "left")
     component = F.coalesce("component", "id")
-    discard(keyed)
+    discard(keyed, coded, left)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -329,8 +329,32 @@ def test_near_vectors_by_brute_force(spark, monkeypatch):
     np.fill_diagonal(linked, False)
     components = _components(range(300), zip(*np.nonzero(linked), strict=True))
     want = {i * 3: (int(linked[i].sum()), components[i] * 3) for i in range(300)} | {i: (0, i) for i in range(9001, 9006)}
-    found = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "vec_id long, embedding array<float>, node int, component_id int")
+    found = neighbours.near_vectors(df)
     assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == want
+    assert neighbours.near_vectors(df.limit(0)).collect() == []
+    # a null id has no name; an id that comes twice counts each vector
+    odd = spark.createDataFrame([(None, rows[0][1]), (1, rows[0][1]), (1, rows[0][1]), (2, rows[1][1])], "vec_id long, embedding array<float>")
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in neighbours.near_vectors(odd).collect()) == [("1", 1, "1", True)] * 2 + [("2", 0, "2", True), ("None", 0, "None", True)]
+
+
+@pytest.mark.parametrize("d", [1, 7, 64, 200])
+def test_codes_leave_few_pairs_open_and_lose_none(d):
+    """Pairs at every cosine from 0.9 on stay open; of unrelated ones few do."""
+    rng = np.random.default_rng(d)
+    x, z = neighbours.unit(rng.normal(size=(600, d))), rng.normal(size=(600, d))
+    cosine = np.linspace(0.9, 1, 600)[:, None]
+    z = neighbours.unit(z - np.einsum("ij,ij->i", z, x)[:, None] * x) if d > 1 else x
+    y = cosine * x + np.sqrt(1 - cosine**2) * z
+    y = neighbours.unit(y)
+    one, two = neighbours.pack(x), neighbours.pack(y)
+    assert one.shape[1] == 12 + -(-d // 8) + -(-d // 2)
+    found = neighbours.undecided(one, two, d, 0.9)
+    assert found.diagonal().all() and (found | (x @ y.T < 0.9)).all()
+    if d >= 64:
+        far = x @ y.T < 0.7
+        assert found[far].mean() < 0.02
+    assert (neighbours.undecided(two, one, d, 0.9) == found.T).all()
 
 
 def test_near_vectors_of_two_lengths(spark):
