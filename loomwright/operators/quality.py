@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,27 +73,65 @@ def token_iou(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(share), F.lit(0.0)), 6).alias("score"))
 
 
-def k_center(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+def _farthest(picks: np.ndarray, most: int):
+    """(id, v) -> the `most` best rows of a batch as (id, s, u): s is the least distance to the picks, the length where there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v = batch.column("id").to_numpy(), batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            norm = np.sqrt((v * v).sum(1))
+            u = v / (norm + 1e-8)[:, None]
+            score = norm if not len(picks) else np.full(len(u), np.inf)
+            for p in picks:
+                score = np.minimum(score, np.sqrt(((u - p) ** 2).sum(1)))
+            score = np.round(score, 9)
+            top = np.lexsort((ids, -score))[:most]
+            ends = pa.array(np.arange(len(top) + 1) * u.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(score[top]), pa.ListArray.from_arrays(ends, pa.array(u[top].ravel()))], ["id", "s", "u"])
+
+    return run
+
+
+def k_center(df: DataFrame, id_col: str, vector_col: str, k: int, candidates: int = 256) -> DataFrame:
     """k rows chosen greedily so that each is farthest from those before it, on normalised vectors: rank, id and distance.
 
     The first is the longest vector; ties (9 decimals) go to the smallest
-    id. Each pick is one aggregation over the table, and only the chosen
-    rows, k in number, reach the driver. Null vectors are left out;
-    vectors are of one length, and fewer than k rows give all of them.
+    id. Null vectors are left out; vectors are of one length, and fewer
+    than k rows give all of them.
+
+    A round brings the `candidates` best rows of the table to the driver.
+    Distances only fall with further picks, so as long as the best
+    candidate is farther than the last of them was, no other row can be:
+    a round makes many picks, each exact, from one pass over the table.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     raw = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    rows = raw.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).withColumn("u", F.transform("v", lambda x: x / (F.col("norm") + 1e-8)))
-    picked, score = [], F.col("norm")
-    for rank in range(1, k + 1):
-        left = rows.where(~F.col("id").isin([p[1] for p in picked])) if picked else rows
-        best = left.agg(F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("id")).alias("least"), "u")).alias("best")).first().best
-        if best is None:
+    picked, units = [], []
+    while len(picked) < k:
+        found = raw.mapInArrow(_farthest(np.array(units), candidates), "id long, s double, u array<double>")
+        chosen = [p[1] for p in picked]
+        rows = found.where(~F.col("id").isin(chosen)) if chosen else found
+        # a batch sends enough for all that are chosen already
+        best = rows.orderBy(F.desc("s"), "id").limit(candidates).collect()
+        if not best:
             break
-        gap = lambda x, u=best.u: F.zip_with(x, F.array(*map(F.lit, u)), lambda p, q: p - q)
-        far = F.sqrt(dot(gap(F.col("u")), gap(F.col("u"))))
-        score = far if not picked else F.least(score, far)
-        picked.append((rank, -best.least, round(best.s, 6)))
+        ids, score, u = np.array([r.id for r in best]), np.array([r.s for r in best]), np.array([r.u for r in best])
+        bound = score[-1] if len(best) == candidates else -1.0
+        first = True
+        while len(picked) < k and len(ids):
+            at = np.lexsort((ids, -score))[0]
+            if not first and score[at] <= bound:
+                break
+            picked.append((len(picked) + 1, int(ids[at]), round(float(score[at]), 6)))
+            units.append(u[at])
+            gap = np.round(np.sqrt(((u - u[at]) ** 2).sum(1)), 9)
+            score = gap if len(picked) == 1 else np.minimum(score, gap)
+            keep = np.arange(len(ids)) != at
+            ids, score, u = ids[keep], score[keep], u[keep]
+            if len(picked) == 1:
+                break  # the first is chosen by another measure
+            first = False
     return df.sparkSession.createDataFrame(picked, "rank long, id long, score double").withColumnRenamed("id", id_col)
 
 

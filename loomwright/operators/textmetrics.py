@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.stems import stemmed
 from loomwright.operators.measures import tokens
+from loomwright.sources.scratch import stored
 
 
 def grams(t: Column, n: int) -> Column:
@@ -24,16 +28,26 @@ def rouge(df: DataFrame, key: str, reference: str, hypothesis: str, n: int, stem
     return rows.join(hits, key, "left").select(key, F.round(F.coalesce(2 * F.col("hits") / F.nullif(F.size("r") + F.size("h"), F.lit(0)), F.lit(0.0)), 6).alias(f"rouge_{n}"))
 
 
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a word of `a` at a time against all of `b` as the bits of one number."""
+    at: dict[str, int] = {}
+    for i, word in enumerate(b):
+        at[word] = at.get(word, 0) | 1 << i
+    row = whole = (1 << len(b)) - 1
+    for word in a:
+        met = row & at.get(word, 0)
+        row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
+
+
 def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table at a time."""
+    """Length of the longest common subsequence of two arrays; nulls count as empty."""
 
-    def row(before: Column, word: Column) -> Column:
-        # acc: this row so far; its last value is the cell to the left
-        step = lambda acc, j: F.concat(acc, F.array(F.when(F.element_at(b, j) == word, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.element_at(before, j + 1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), step)
+    def run(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else common_length(list(x), list(y)) for x, y in zip(one, two, strict=True)], dtype="int32")
 
-    table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(table, -1)).otherwise(0)
+    run.__annotations__ = {"one": pd.Series, "two": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "int")(a, b)
 
 
 def rouge_l(df: DataFrame, key: str, reference: str, hypothesis: str) -> DataFrame:
@@ -73,23 +87,34 @@ def jaccard_pairs(df: DataFrame, key: str, text: str, percent: int) -> DataFrame
     """Pairs of rows whose word sets have 100 * |intersection| >= percent * |union|.
 
     Equal sets are compared once: pairs are those of set representatives
-    (the smallest key) and n_a, n_b say how many rows have the set. Sets
+    (the smallest key) and n_a, n_b say how many rows have the set. Words
+    are 64-bit hashes, sets are told apart by the MD5 of their words. Sets
     meet by the first words of each in one order of all words, rare ones
-    first; so many words come first that linked sets must share one.
+    first, so many that linked sets must share one, and in bands of sizes
+    that linked sets can have. A frequent word is seldom among the first;
+    where it is, its bands keep apart what can't be linked.
     """
-    sets = df.select(key, F.array_sort(F.array_distinct(tokens(F.col(text)))).alias("words")).where(F.size("words") > 0)
-    sets = sets.groupBy("words").agg(F.min(key).alias("id"), F.count("*").alias("n"))
-    every = sets.select("id", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    # a little wider than what linked sizes differ by, so that rounding never puts them two bands apart
+    step = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1.0
+    words = F.array_sort(F.array_distinct(tokens(F.col(text))))
+    sets = df.select(key, words.alias("w")).where(F.size("w") > 0).select(key, F.md5(F.array_join("w", " ")).alias("digest"), F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("words"))
+    sets = stored(sets.groupBy("digest").agg(F.min(key).alias("id"), F.count("*").alias("n"), F.first("words").alias("words")).select("id", "n", "words"), "sets")
+    every = sets.select("id", F.size("words").alias("size"), F.explode("words").alias("word"))
     often = every.groupBy("word").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    first = every.join(often, "word").withColumn("place", place).where(100 * (F.col("place") - 1) <= (100 - percent) * F.col("size"))
-    a, b = (first.select("word", F.col("id").alias(f"id_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
+    ranked = every.join(often, "word").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    most = F.floor((100 - percent) * F.col("size") / 100).cast("int") + 1
+    # a word that one set alone has meets nothing
+    first = ranked.select("id", "size", F.floor(F.log("size") / step).cast("int").alias("band"), F.explode(F.filter(F.slice("ranked", F.lit(1), most), lambda r: r["df"] > 1)).alias("r"))
+    first = stored(first.select("id", "size", "band", F.col("r.word").alias("word")), "prefixes")
+    a = first.select("word", "band", F.col("id").alias("id_a"), F.col("size").alias("size_a"))
+    b = first.select("word", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("id_b"), F.col("size").alias("size_b"))
     near = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("id_a") < F.col("id_b"))
-    pairs = a.join(b, "word").where(near).select("id_a", "id_b").distinct()
+    pairs = a.join(b, ["word", "band"]).where(near).select("id_a", "id_b").distinct()
     side = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col("words").alias(f"words_{s}"), F.col("n").alias(f"n_{s}"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b") - both
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").where(100 * both >= percent * union).select("id_a", "id_b", "n_a", "n_b", F.round(both / union, 6).alias("jaccard"))
+    met = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    met = met.select("id_a", "id_b", "n_a", "n_b", F.size(F.array_intersect("words_a", "words_b")).alias("both"), (F.size("words_a") + F.size("words_b")).alias("sum"))
+    union = F.col("sum") - F.col("both")
+    return met.where(100 * F.col("both") >= percent * union).select("id_a", "id_b", "n_a", "n_b", F.round(F.col("both") / union, 6).alias("jaccard"))
 
 
 def adjacent_jaccard(df: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -101,3 +101,31 @@ def test_k_center_by_brute_force(spark):
     assert [r.id for r in quality.k_center(df, "id", "v", 6).orderBy("rank").collect()] == chosen
     assert quality.k_center(df.where("id < 2"), "id", "v", 6).count() == 2
     assert quality.k_center(df.where("false"), "id", "v", 6).count() == 0
+
+
+def test_k_center_takes_few_rounds(spark, monkeypatch):
+    """Many picks a pass, whatever the number of candidates; the same picks each time."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 5)))]
+    rows += [(1000 + i, v) for i, v in rows[:50]] + [(2000, None), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    passes, plain = [], quality._farthest
+    monkeypatch.setattr(quality, "_farthest", lambda *a: passes.append(1) or plain(*a))
+    found = {}
+    for candidates in (1, 20, 256):
+        passes.clear()
+        found[candidates] = [tuple(r) for r in quality.k_center(df, "id", "v", 30, candidates).orderBy("rank").collect()]
+        assert len(passes) <= {1: 30, 20: 25, 256: 5}[candidates]
+    assert found[1] == found[20] == found[256] and len(found[1]) == 30
+
+
+def test_common_subsequences():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (["abcd"[i] for i in rng.integers(0, 4, rng.integers(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = list(row)
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+        assert textmetrics.common_length(a, b) == row[-1]
