@@ -57,8 +57,8 @@ def walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
     while True:
         depth += 1
         step = now.join(edges, now["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        now = stored(step.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
-        if now.isEmpty():
+        now = stored(step.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk", counted=True)
+        if not now.rows:
             discard(edges, now)
             return known
         parts.append(now)
@@ -81,8 +81,8 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Runs of nodes with one edge in and one out are bridged by jumps that double, in both directions.
     """
-    through = stored(_through(edges), "through")
-    size = through.count()
+    through = stored(_through(edges), "through", counted=True)
+    size = through.rows
     jump = stored(through.select("node", F.col("prev").alias("a"), F.col("next").alias("b"), F.least("node", "next").alias("low")), "jump")
     reached = 1
     while reached <= 2 * size:
@@ -90,10 +90,10 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         near = jump.select(F.col("node").alias("b"), F.col("b").alias("bb"), F.col("low").alias("b_low"))
         back = jump.select(F.col("node").alias("a"), F.col("a").alias("aa"))
         step = jump.join(near, "b", "left").join(back, "a", "left")
-        longer = stored(step.select("node", F.coalesce("aa", "a").alias("a"), F.coalesce("bb", "b").alias("b"), F.least("low", F.coalesce("b_low", "low")).alias("low"), F.coalesce("bb", "aa").isNotNull().alias("open")), "jump")
+        longer = stored(step.select("node", F.coalesce("aa", "a").alias("a"), F.coalesce("bb", "b").alias("b"), F.least("low", F.coalesce("b_low", "low")).alias("low"), F.coalesce("bb", "aa").isNotNull().alias("open")), "jump", counted=F.col("open"))
         discard(jump)
         jump, reached = longer, 2 * reached
-        if jump.where("open").isEmpty():
+        if not jump.rows:
             break
     names = through.select(F.col("node").alias("end"))
     chain = jump.join(names, jump["b"] == names["end"], "left_anti").select("node", F.col("a").alias("from"), F.col("b").alias("to"))
@@ -128,10 +128,10 @@ def _colours(edges: DataFrame) -> DataFrame:
         told = said.groupBy(F.col("dst").alias("node")).agg(F.max(F.when(F.col("on"), F.col("f"))).alias("tf"), F.max(F.when(~F.col("on"), F.col("b"))).alias("tb"))
         f, b = F.greatest("f", F.coalesce("tf", "f")), F.greatest("b", F.coalesce("tb", "b"))
         after = now.join(told, "node", "left").select("node", f.alias("f"), b.alias("b"), ((f > F.col("f")) | (b > F.col("b"))).alias("new"))
-        after = stored(after, "colours")
+        after = stored(after, "colours", counted=F.col("new"))
         discard(now)
         now = after
-        if now.where("new").isEmpty():
+        if not now.rows:
             return now
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, counted: bool = False) -> DataFrame:
-    """Cuts the lineage: df written to the shared folder and read again; with `counted`, its .rows is the number of rows, counted as they were written.
+def stored(df: DataFrame, label: str, counted: bool | Column = False) -> DataFrame:
+    """Cuts the lineage: df written to the shared folder and read again; with `counted`, its .rows is the number of rows (of those for which a condition holds), counted as they were written.
 
     Every executor can read the files, so a lost executor costs only the
     stage that runs, not the work before it.
@@ -29,10 +29,12 @@ def stored(df: DataFrame, label: str, counted: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
-    (df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
+    counting = counted is not False
+    rows = F.count(F.lit(1)) if counted is True else F.count_if(counted) if counting else None
+    (df.observe(seen, rows.alias("n")) if counting else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
-    if counted:
+    if counting:
         out.rows = seen.get["n"]
     return out
 
