@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomwright.functions import nested, pii, rotations, watermarks
+from loomwright.functions import diffs, nested, pii, rotations, watermarks
 from loomwright.operators import experiments, textmetrics
 from loomwright.plans.catalog import MIDDLE, SQL_LATE, late, query, t
 from loomwright.plans.more import _pairs
@@ -177,3 +177,16 @@ def rotations_between(spark, sf):
 def rouge_1_stemmed(spark, sf):
     """ROUGE-1 of the words' stems. SQL has no stemmer; tests hold it against plain loops."""
     return textmetrics.rouge(_pairs(spark, sf), "item_id", "text", "said", 1, stem=True)
+
+
+@query("version_diffs", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL AND NOT contains(text, '[edited]')),
+    k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (i % 3 > 0) AS stay, string_agg(line, chr(10) ORDER BY i) FILTER (i % 3 > 0) AS said FROM l GROUP BY 1)
+    SELECT doc_id, 1 AS added, (n - stay)::INT AS removed, stay::INT AS kept, sha256(said || chr(10) || '[edited]') AS new_sha256 FROM k""")
+def version_diffs(spark, sf):
+    """Documents against a version without every third line and with a new one at the end: lines added, removed and kept, and the new text put together from the script."""
+    docs = t(spark, sf, "documents").where("text is not null and not contains(text, '[edited]')").select("doc_id", F.concat("text", F.lit("\n")).alias("old"), F.split("text", "\n", -1).alias("lines"))
+    stay = F.concat(F.filter("lines", lambda _, i: (i + 1) % 3 > 0), F.array(F.lit("[edited]")))
+    rows = docs.select("doc_id", "old", F.concat(F.array_join(stay, "\n"), F.lit("\n")).alias("new"))
+    found = rows.select("doc_id", diffs.compared(F.col("old"), F.col("new"), with_ratio=False).alias("d")).select("doc_id", "d.*")
+    put = F.array_join(F.transform(F.filter("script", lambda s: s["op"] != "-"), lambda s: s["line"]), "\n")
+    return found.select("doc_id", F.size("added").alias("added"), F.size("removed").alias("removed"), F.size("kept").alias("kept"), F.sha2(put, 256).alias("new_sha256"))
