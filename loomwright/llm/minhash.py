@@ -208,7 +208,8 @@ def residual_links(compared: DataFrame, groups: DataFrame, percent: int) -> Data
         found = linked_parts(*sides, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return dealt.groupBy("a", "i", "j").applyInArrow(meet, "a long, b long")
+    # the join left a centre's rows together; its pairs of parts go to tasks of their own
+    return dealt.repartition("a", "i", "j").groupBy("a", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
