@@ -120,7 +120,7 @@ def unpack(codes: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     factor, low, step = np.ascontiguousarray(codes[:, :12]).view(np.float32).T
     signs = np.unpackbits(codes[:, 12 : 12 + -(-d // 8)], axis=1, count=d).astype(np.float32)
     pairs = codes[:, 12 + -(-d // 8) :]
-    steps = np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(codes), -1)[:, :d]
+    steps = np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(codes), 2 * pairs.shape[1])[:, :d]
     return (2 * signs - 1) / np.float32(math.sqrt(d)), low[:, None] + step[:, None] * steps, np.maximum(factor, 1e-6), step
 
 

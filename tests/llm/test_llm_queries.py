@@ -357,6 +357,18 @@ def test_codes_leave_few_pairs_open_and_lose_none(d):
     assert (neighbours.undecided(two, one, d, 0.9) == found.T).all()
 
 
+def test_one_large_bucket_alone(spark, monkeypatch):
+    """All vectors near each other: every bucket is a large one, in one part or in several, and no small one is left."""
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=16) + rng.normal(size=(150, 16)) * 0.02
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(e)], "vec_id long, embedding array<double>")
+    for part in (1500, 100):
+        monkeypatch.setattr(neighbours, "PART", part)
+        assert {(r.n_links, r.component_id) for r in neighbours.near_vectors(df).collect()} == {(149, 0)}
+    empty = neighbours.pack(e)[:0]
+    assert neighbours.undecided(empty, neighbours.pack(neighbours.unit(e)), 16, 0.9).shape == (0, 150)
+
+
 def test_near_vectors_of_two_lengths(spark):
     rng = np.random.default_rng(1)
     rows, want = [], {}
