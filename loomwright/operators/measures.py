@@ -61,6 +61,26 @@ def calibration_error(df: DataFrame, group: str, confidence: Column, right: Colu
     return cells.groupBy(group).agg(F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("ece"))
 
 
+def calibration_report(df: DataFrame, group: str, confidence: Column, right: Column, bins: int = 10) -> DataFrame:
+    """Expected and largest calibration error over equal bins, log loss (confidence held off 0 and 1 by 1e-10) and Brier score; null confidences are left out."""
+    rows = df.select(group, confidence.alias("c"), right.cast("double").alias("r")).where("c is not null and r is not null")
+    c = F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), F.col("c")))
+    loss, square = -(F.col("r") * F.ln(c) + (1 - F.col("r")) * F.ln(1 - c)), (F.col("c") - F.col("r")) * (F.col("c") - F.col("r"))
+    cells = rows.groupBy(group, F.least(F.floor(F.col("c") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("c") - F.avg("r")).alias("gap"), F.sum(loss).alias("loss"), F.sum(square).alias("square"))
+    mean = lambda x: F.round(F.sum(x) / F.sum("n"), 6)
+    return cells.groupBy(group).agg(F.sum("n").alias("rows"), mean(F.col("n") * F.col("gap")).alias("ece"), F.round(F.max("gap"), 6).alias("mce"), mean("loss").alias("nll"), mean("square").alias("brier"))
+
+
+def reliability(df: DataFrame, group: str, confidence: Column, right: Column, bins: int = 10) -> DataFrame:
+    """Rows, mean confidence and accuracy of each group's bins; an empty bin has its middle and 0."""
+    rows = df.select(group, confidence.alias("c"), right.cast("double").alias("r")).where("c is not null and r is not null")
+    cells = rows.groupBy(group, F.least(F.floor(F.col("c") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("c").alias("c"), F.avg("r").alias("r"))
+    every = cells.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "c", "r")))).alias("_m"))  # at most `bins` of them
+    each = every.select(group, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_m").select(group, "bin", F.try_element_at("_m", F.col("bin")).alias("_b"))
+    middle = (F.col("bin") + 0.5) / bins
+    return each.select(group, "bin", F.coalesce("_b.n", F.lit(0)).alias("rows"), F.round(F.coalesce("_b.c", middle), 6).alias("confidence"), F.round(F.coalesce("_b.r", F.lit(0.0)), 6).alias("accuracy"))
+
+
 def outliers(df: DataFrame, group: str, value: str, threshold: float = 2.5) -> DataFrame:
     """Rows whose population z-score within the group is beyond the threshold; groups without variance have none."""
     stats = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

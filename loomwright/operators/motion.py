@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions import rotations
+
 
 def distance(a: list[Column], b: list[Column]) -> Column:
     """Euclidean distance of two points; null if a coordinate is."""
@@ -40,6 +42,25 @@ def points_at(df: DataFrame, key: str, at: str, tie: str, value: str, times: lis
     return each.select(key, "at", F.round(F.coalesce(a + (b - a) * share, a, b), 6).alias("value"))
 
 
+def poses_at(df: DataFrame, key: str, at: str, tie: str, coords: list[str], orientation: str, times: list[float]) -> DataFrame:
+    """Coordinates (by a line) and orientation (by the shortest rotation) at each of the times, between the rows around it; outside, the nearest row's.
+
+    Orientations are quaternions (x, y, z, w), made unit; null ones are no
+    rotation. Rows without a time or a coordinate are left out. As in
+    points_at, one aggregation keeps the rows beside each time only.
+    """
+    rows = df.dropna(subset=[at, *coords])
+    pose = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.array(*(F.col(c).cast("double") for c in coords)).alias("p"), rotations.unit(F.col(orientation)).alias("q"))
+    aggs = [f(F.when(cond, pose)).alias(f"_{n}{i}") for i, x in enumerate(times) for n, f, cond in (("a", F.max, F.col(at) <= x), ("b", F.min, F.col(at) > x))]
+    near = rows.groupBy(F.col(key).alias("_key")).agg(*aggs)
+    one = [F.struct(F.lit(float(x)).alias("at"), F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b")) for i, x in enumerate(times)]
+    each = near.select("_key", F.explode(F.array(*one)).alias("p")).select("_key", "p.*")
+    share = (F.col("at") - F.col("a.at")) / (F.col("b.at") - F.col("a.at"))
+    place = F.coalesce(F.zip_with("a.p", "b.p", lambda x, y: x + (y - x) * share), F.col("a.p"), F.col("b.p"))
+    turned = F.when(share.isNotNull(), rotations.between(F.col("a.q"), F.col("b.q"), share)).otherwise(F.coalesce("a.q", "b.q"))
+    return each.select(F.col("_key").alias(key), "at", place.alias("position"), turned.alias("orientation"))
+
+
 def displacement(df: DataFrame, key: str, order: list[str], real: list[str], said: list[str]) -> DataFrame:
     """Average and final distance of foretold from real points, their squared errors' mean and its root; rows without either are left out."""
     rows = df.dropna(subset=real + said)

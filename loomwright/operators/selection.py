@@ -48,6 +48,31 @@ def thresholds(df: DataFrame, confidence: Column, right: Column, low: float = 0.
         F.round(F.col("n") / F.col("total"), 6).alias("coverage"), F.round(F.col("r") / F.col("total"), 6).alias("expected_accuracy"))
 
 
+def threshold_for(levels: DataFrame, accuracy: float = 0.0, fallback: float = 1.0) -> DataFrame:
+    """Of the rows of thresholds(), the one with the best expected accuracy that is accurate enough and leaves at most a share `fallback` out; the best of all if none is.
+
+    Ties: the lowest threshold. One row, with `met`; none if no threshold was reached.
+    """
+    met = (F.col("accuracy") >= accuracy) & (F.round(1 - F.col("coverage"), 6) <= fallback)
+    return levels.withColumn("met", met).orderBy(F.desc("met"), F.desc("expected_accuracy"), "step").limit(1)
+
+
+def merged_answers(df: DataFrame, item: str, answer: str, confidence: str, order: str, sure: float = 0.9, close: float = 0.2) -> DataFrame:
+    """One answer for each item: the surest, with the next one beside it if neither is above `sure` and they are less than `close` apart.
+
+    Ties go to the lower `order`; null confidences come last, and count as
+    apart from all others. Only two rows of an item are kept in each
+    partition before the shuffle, so large items don't meet in one task.
+    """
+    place = F.row_number().over(Window.partitionBy(item).orderBy(F.desc_nulls_last(confidence), order, answer))
+    two = df.select(item, answer, confidence, order).withColumn("_place", place).where("_place <= 2")
+    at = lambda c, i: F.max(F.when(F.col("_place") == i, F.col(c)))
+    rows = two.groupBy(item).agg(at(answer, 1).alias("_a"), at(answer, 2).alias("_b"), at(confidence, 1).alias("_c"), at(confidence, 2).alias("_d"))
+    both = F.coalesce((F.col("_c") <= sure) & (F.col("_c") - F.col("_d") < close), F.lit(False))
+    text = F.when(both, F.concat(F.coalesce("_a", F.lit("")), F.lit("\n\n[Additional perspective]: "), F.coalesce("_b", F.lit("")))).otherwise(F.col("_a"))
+    return rows.select(item, both.alias("merged"), F.col("_c").alias("confidence"), text.alias("answer"))
+
+
 def scaled(confidence: Column, temperature: Column) -> Column:
     """The confidence, held in [0.01, 0.99], with its logit divided by the temperature."""
     c = F.greatest(F.lit(0.01), F.least(F.lit(0.99), confidence))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomwright.plans import catalog, dimensions, exact, models, more, networks, ordered, quality, records, registry, reports, searches  # noqa: F401
+from loomwright.plans import catalog, dimensions, exact, models, more, networks, ordered, quality, records, registry, reports, searches, world  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
