@@ -183,6 +183,31 @@ def test_repeats_by_brute_force(spark, monkeypatch):
         assert {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(rows).collect()} == want
 
 
+def _shuffled(plan) -> list[int]:
+    """Rows written by each exchange of an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+    return own + [n for x in below for n in _shuffled(x)]
+
+
+def test_copies_of_a_text_are_not_dealt_to_one_task(spark, monkeypatch):
+    """Bytes of blocks come from one row of each text; tasks drop the copies before a shuffle."""
+    shared, found, plain = "A shared passage of the text. " * 20, [], suffixes.stored
+
+    def seen(df, name):
+        if name == "block-bytes":
+            df.collect()
+            found.extend(_shuffled(df._jdf.queryExecution().executedPlan()))
+        return plain(df, name)
+
+    monkeypatch.setattr(suffixes, "stored", seen)
+    rows = spark.createDataFrame([(n, shared + "one end") for n in range(300)] + [(300, "another start " + shared)], "doc_id long, text string")
+    out = suffixes.remove_repeats(rows).select("doc_id", "n_bytes", "spans").collect()
+    assert len(out) == 301 and all(r.spans for r in out)
+    assert found and max(found) < 100
+
+
 def test_difference_cover_orders_suffixes():
     data = np.frombuffer(b"abracadabra" * 40 + b"banana" * 60 + b"abracadabra" * 40, np.uint8)
     starts = np.arange(0, len(data) - 400)
