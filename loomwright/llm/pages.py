@@ -245,22 +245,34 @@ def best_path(page: str | Parsed) -> tuple[str, float] | None:
     return found.paths[at], named[at]
 
 
+def title_paths(found: Parsed) -> dict[int, str]:
+    """Paths of the blocks that are titles. The first one in a container and the later ones differ: a site's name may stand before a page's own title."""
+    out: dict[int, str] = {}
+    met: set[int] = set()
+    for n, b in enumerate(found.blocks):
+        if b.title:
+            out[n] = f"{found.paths[b.own]}/h1" + ("+" if b.own in met else "")
+            met.add(b.own)
+    return out
+
+
 def evidence(found: Parsed) -> list[tuple[str, str]]:
     """(path, digest of the text) of the page's doubtful areas and titles, to be compared with the host's other pages."""
     said: dict[int, list[str]] = {}
-    out = []
-    for b in found.blocks:
+    out, titles = [], title_paths(found)
+    for n, b in enumerate(found.blocks):
         for area in b.areas:
             if found.areas[area].kind == "doubtful":
                 said.setdefault(area, []).append(b.text)
         if b.title:
-            out.append((f"{found.paths[b.own]}/h1", hashlib.md5(b.text.encode()).hexdigest()))
+            out.append((titles[n], hashlib.md5(b.text.encode()).hexdigest()))
     return out + [(found.areas[a].path, hashlib.md5("\n".join(texts).encode()).hexdigest()) for a, texts in said.items()]
 
 
 def extract(page: str | Parsed, path: str | None, known: dict[str, bool] | None = None) -> str:
     """The page's main text: blocks in or below containers of the path (of its own best container if it has none of the
-    path), of their parents' own blocks those that aren't mostly links, and a title that stands elsewhere before them.
+    path), of their parents' own blocks those that aren't mostly links nor titles that repeat on the host, and a title
+    that stands elsewhere before them.
 
     known says of paths of areas and titles that other pages of the host have whether their text repeats there.
     Areas around a container of the path are part of the text; inside, comments and foreign areas go. A
@@ -299,14 +311,15 @@ def extract(page: str | Parsed, path: str | None, known: dict[str, bool] | None
         return article or (known.get(at) is False and not words & BESIDE)
 
     kept = {area: stays(area) for area in size}
-    taken = [(inside[b.own] or (b.own in above and 2 * b.linked < len(b.text))) and all(kept[a] for a in b.areas) for b in found.blocks]
+    titles = title_paths(found)
+    beside = lambda n, b: b.own in above and 2 * b.linked < len(b.text) and not (b.title and known.get(titles[n]))
+    taken = [(inside[b.own] or beside(n, b)) and all(kept[a] for a in b.areas) for n, b in enumerate(found.blocks)]
     if True in taken and not any(t and b.title for t, b in zip(taken, found.blocks, strict=True)):
         for i in range(taken.index(True) - 1, -1, -1):
             b = found.blocks[i]
             areas = [found.areas[a] for a in b.areas if a not in around]
-            if b.title and 2 * b.linked < len(b.text) and all(a.kind == "doubtful" for a in areas):
-                repeats = known.get(f"{found.paths[b.own]}/h1")
-                taken[i] = not repeats and (repeats is False or not any(a.words & SITE for a in areas))
+            if b.title and not known.get(titles[i]) and 2 * b.linked < len(b.text) and all(a.kind == "doubtful" for a in areas):
+                taken[i] = titles[i] in known or not any(a.words & SITE for a in areas)
                 break
     return "\n".join(b.text for t, b in zip(taken, found.blocks, strict=True) if t)
 

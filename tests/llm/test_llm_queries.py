@@ -249,6 +249,19 @@ def test_pages_with_layout_classes_and_leads():
 TEXT = "A sentence of the main text that goes on for a while. " * 8
 
 
+def test_titles_beside_the_text_that_repeat_on_the_host(spark):
+    """A site's name goes wherever it stands; a page's own title stays before, after and without it, also if pages of the host are copies."""
+    shapes = {"a": "<h1>Site</h1><h1>Title {n}</h1>{text}", "b": "<h1>Title {n}</h1><h1>Site</h1>{text}", "c": "<h1>Site</h1>{text}", "d": "<h1>Title {n}</h1>{text}", "e": "<div class=banner><h1>Title {n}</h1></div><h1>Site</h1>{text}"}
+    rows, want = [], {}
+    for host, shape in shapes.items():
+        for n in (0, 1, 2, 3, 3):
+            at, text = len(rows), f"Part {n} of {host}. {TEXT}".strip()
+            rows.append((at, f"http://{host}.example/{at}", "<body>" + shape.format(n=n, text=f"<article><p>{text}</p></article>") + "</body>"))
+            want[at] = ("" if host == "c" else f"Title {n}\n") + text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.main_text(df, ["page_id"]).collect()} == want
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
