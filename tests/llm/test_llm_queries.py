@@ -208,6 +208,27 @@ def test_copies_of_a_text_are_not_dealt_to_one_task(spark, monkeypatch):
     assert found and max(found) < 100
 
 
+def test_blocks_of_a_bucket_are_dealt_by_text(spark, monkeypatch):
+    """Many different blocks with one anchor: what is fetched of them isn't dealt by the anchor."""
+    passage = "".join(chr(97 + (n * n * 7 + n // 3) % 26) for n in range(380))
+    plans, plain = {}, suffixes.stored
+
+    def seen(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(suffixes, "stored", seen)
+    monkeypatch.setattr(suffixes, "MOST_BLOCKS", 50)
+    texts = [f"{n:030}{passage}{n * 7919:030}" for n in range(200)] + [f"{n % 2:020}{passage}{passage[:20]}" for n in range(4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: len(r.kept) for r in suffixes.remove_repeats(rows).collect()}
+    seen_before = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    gone = lambda t: len({j for i in range(len(t) - 399) if seen_before[t[i : i + 400]] > 1 for j in range(i, i + 400)})
+    assert found == {n: len(t) - gone(t) for n, t in enumerate(texts)}
+    assert "hashpartitioning(d1" in plans["block-bytes"] and "hashpartitioning(anchor" not in plans["block-bytes"]
+
+
 def test_difference_cover_orders_suffixes():
     data = np.frombuffer(b"abracadabra" * 40 + b"banana" * 60 + b"abracadabra" * 40, np.uint8)
     starts = np.arange(0, len(data) - 400)
