@@ -41,11 +41,27 @@ def thinned(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     return rows.where((F.col("_place") % step == 0) & (F.floor(F.col("_place") / step) < most)).withColumn("point", F.floor(F.col("_place") / step).cast("int")).drop("_place", "_n")
 
 
+def _mean(value: str) -> Column:
+    """The mean by sums that no order of the rows changes: whole parts and twice 31 bits of the fraction, as integers.
+
+    So neither a threshold nor a tie is decided by what was added first.
+    Where a group has a value of 2^31 or more or no number, its plain mean.
+    """
+    v, unit = F.col(value).cast("double"), float(1 << 31)
+    fine = F.abs(v) < unit
+    whole = F.floor(v)
+    high = F.floor((v - whole) * unit)
+    low = F.floor(((v - whole) * unit - high) * unit)
+    total = lambda part: F.sum(F.when(fine, part)).cast("decimal(38,20)")
+    size = F.lit(1 << 31)
+    return F.when(F.count_if(~fine) > 0, F.avg(v)).otherwise(((total(whole) + (total(high) + total(low) / size) / size) / F.count(v)).cast("double"))
+
+
 def rollback(df: DataFrame, key: str, quality: str, failed: Column, latency: str, least: int, min_quality: float, max_failures: float, max_latency: float) -> DataFrame:
-    """The first threshold that a version with enough requests breaks: quality, errors, latency; null for none."""
-    rows = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(quality).alias("quality"), (F.count_if(failed) / F.count("*")).alias("failures"), F.avg(latency).alias("latency"))
+    """The first threshold that a version with enough requests breaks: quality, errors, latency; null for none. Six decimals, rounded in binary as the SQL does."""
+    rows = df.groupBy(key).agg(F.count("*").alias("n"), _mean(quality).alias("quality"), (F.count_if(failed) / F.count("*")).alias("failures"), _mean(latency).alias("latency"))
     why = F.when(F.col("n") < least, None).when(F.col("quality") < min_quality, "quality").when(F.col("failures") > max_failures, "errors").when(F.col("latency") > max_latency, "latency")
-    return rows.select(key, "n", *(F.round(c, 6).alias(c) for c in ("quality", "failures", "latency")), why.alias("reason"))
+    return rows.select(key, "n", *((F.round(F.col(c) * 1e6, 0) / 1e6).alias(c) for c in ("quality", "failures", "latency")), why.alias("reason"))
 
 
 def best_and_worst(df: DataFrame, keys: list[str], value: str, row: str) -> DataFrame:
