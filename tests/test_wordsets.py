@@ -54,7 +54,7 @@ def test_ids_that_repeat_or_are_null(spark):
 def test_frequent_words_in_parts_and_small_pieces_of_work(spark, monkeypatch):
     rows = list(enumerate(_texts(150, 3, words=60)))
     want = _brute(rows, 75)
-    for name, value in (("PART", 4), ("MEMBERS", 2)):
+    for name, value in (("PART", 4), ("MEMBERS", 2), ("MOST_BROADCAST", 3)):
         monkeypatch.setattr(wordsets, name, value)
     assert _found(spark, rows, 75) == want
 
